@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm import bpe_trie, lookalike, packing, score_fusion, sentences, text_stats
+from lectorium.llm import bpe_trie, lookalike, mojibake, packing, score_fusion, sentences, text_stats
 from lectorium.llm.common import once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.select(F.lit("book.title").alias("field"), "id_a", "id_b").unionByName(chunks.select(F.lit("chunk.body").alias("field"), "id_a", "id_b"))
 
 
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, chain, restored, complete) of every page that was decoded wrongly, in whole or in part."""
+    return mojibake.garbled(once(table(spark, sf_dir, "page"), "page_id", ["text"]))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_restored(spark, sf_dir).select("page_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -68,5 +77,5 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_all(sizes, [(r["container_id"], r["capacity_tokens"]) for r in containers])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_sentences, p4_found, p4_ranking, p6_found, p6_forms, p8_ids, p9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_sentences, p4_found, p4_ranking, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing)}
 ORACLE_SQL: dict[str, str] = {}
