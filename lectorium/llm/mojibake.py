@@ -159,6 +159,7 @@ def _fit(clean: list[str], classes: list[Chain], rows: int) -> Model:
     counts = np.full((len(classes) + 1, BUCKETS), 0.02, dtype=np.float64)
     for text in clean:
         np.add.at(counts[0], bigrams(text), 1)
+        np.add.at(counts[0], bigrams(text.upper()), 0.2)  # headings in capitals
     for k, chain in enumerate(classes, 1):
         made = 0
         for text in clean:

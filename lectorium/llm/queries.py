@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm import bpe_trie, lookalike, mojibake, packing, score_fusion, sentences, text_stats
+from lectorium.llm import bpe_trie, lookalike, mojibake, packing, scan_repair, score_fusion, sentences, text_stats
 from lectorium.llm.common import once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_statistics(spark, sf_dir).where("not is_prose").select("field", "row_id")
 
 
+def _scan(spark: SparkSession, sf_dir: str) -> scan_repair.Scan:
+    page, stats, book, chapter = (table(spark, sf_dir, t) for t in ("page", "extract_stats", "book", "chapter"))
+    bodies = once(table(spark, sf_dir, "chunk"), "chunk_id", ["body"]).select("body")
+    return scan_repair.Scan(page, stats, book, chapter, bodies)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).found()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, text): every page of scanned books as continuous paragraphs."""
+    return _scan(spark, sf_dir).repaired()
+
+
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(once(table(spark, sf_dir, "chunk"), "chunk_id", ["body"]))
 
@@ -77,5 +92,5 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_all(sizes, [(r["container_id"], r["capacity_tokens"]) for r in containers])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_sentences, p4_found, p4_ranking, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_sentences, p4_found, p4_ranking, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing)}
 ORACLE_SQL: dict[str, str] = {}
