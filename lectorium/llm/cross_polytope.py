@@ -199,7 +199,7 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def nearest(df: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 10, tables: int = 24, probes: int = 24, dimension: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 10, tables: int = 8, probes: int = 12, dimension: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): about the k most similar vectors of each query, itself left out.
 
     `queries` is a DataFrame of ids. One axis a table: with vectors as unlike each other as here, neighbours lie
@@ -220,8 +220,8 @@ def nearest(df: DataFrame, id_column: str, vector_column: str, queries: DataFram
     blocks = max(1, -(-asked.count() // BLOCK))
     parts = max(4, df.sparkSession.sparkContext.defaultParallelism)
     asked = asked.toDF("asking", "question")
-    left = asked.select("asking", "question", F.pmod(F.xxhash64("asking"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = vectors.select("id", "vec", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    left = asked.select("asking", "question", F.pmod(F.xxhash64("asking"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = vectors.select("id", "vec", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def compare(keys: tuple, ask: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm import bpe_trie, lookalike, mojibake, packing, scan_repair, score_fusion, sentences, text_stats
+from lectorium.llm import bpe_trie, cross_polytope, lookalike, mojibake, packing, scan_repair, score_fusion, sentences, text_stats
 from lectorium.llm.common import once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_fusion.best(table(spark, sf_dir, "search_result"), table(spark, sf_dir, "score_list"), 5)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cross_polytope.similar_pairs(table(spark, sf_dir, "chunk_vec"), "chunk_id", "embedding", 0.9)
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, neighbour_id, similarity, rank): the 10 nearest of every chunk whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "chunk_vec")
+    return cross_polytope.nearest(vectors, "chunk_id", "embedding", vectors.where("chunk_id % 100 = 0").select("chunk_id"), 10)
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, row_id, form): the consistent form of each title and body."""
     books = lookalike.normalised(once(table(spark, sf_dir, "book"), "book_id", ["title"]), "book_id", "title")
@@ -92,5 +103,5 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_all(sizes, [(r["container_id"], r["capacity_tokens"]) for r in containers])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_sentences, p4_found, p4_ranking, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_sentences, p4_found, p4_ranking, p5_found, p5_neighbours, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing)}
 ORACLE_SQL: dict[str, str] = {}
