@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectorium.llm import bpe_trie, cross_polytope, lookalike, mojibake, packing, scan_repair, score_fusion, sentences, text_stats
+from lectorium.llm import bpe_trie, cross_polytope, lookalike, mojibake, packing, scan_repair, score_fusion, sentences, spam_trees, text_stats
 from lectorium.llm.common import once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,5 +103,13 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_all(sizes, [(r["container_id"], r["capacity_tokens"]) for r in containers])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_sentences, p4_found, p4_ranking, p5_found, p5_neighbours, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing)}
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_trees.spam_scores(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where("score > 0.5").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_repaired, p3_found, p3_sentences, p4_found, p4_ranking, p5_found, p5_neighbours, p6_found, p6_forms, p7_found, p7_restored, p8_ids, p9_packing, p10_found, p10_scores)}
 ORACLE_SQL: dict[str, str] = {}
