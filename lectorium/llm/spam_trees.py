@@ -60,7 +60,8 @@ def features(text: str) -> list[float]:
     pairs = Counter(zip(words, words[1:]))
     repeated = sum(c for c in pairs.values() if c > 2)
     triples = Counter(zip(words, words[1:], words[2:]))
-    top_triple = min(1.0, 3 * max(triples.values(), default=0) / n) if n >= 12 else 0.0
+    top_triple = max(triples.values(), default=0)
+    top_triple = min(1.0, 3 * top_triple / n) if top_triple > 2 else 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(n) if n > 1 else 1.0
 
     sentence = repeat = keyword = row = product = line_links = marks = stated = 0
@@ -123,9 +124,12 @@ def weak_label() -> Column:
         | ((c("product_share") > 0.55) & (c("sentence_share") < 0.3) & (c("row_share") < 0.2))
         | ((c("repeat_share") + c("keyword_share") > 0.9) & (c("sentence_share") < 0.3) & (c("row_share") < 0.05) & (c("digit_share") < 0.1) & (c("distinct_words") < 0.4))
         | ((c("top_triple") > 0.25) & (c("repeated_pairs") > 0.6) & (c("row_share") < 0.1) & (c("distinct_words") < 0.4))
+        | ((c("top_triple") > 0.4) & (c("keyword_share") > 0.6) & (c("row_share") < 0.1))
+        | ((c("top_triple") > 0.2) & (c("repeated_pairs") > 0.75) & (c("distinct_words") < 0.15) & (c("row_share") < 0.1))
     )
     clean = (
-        ((c("sentence_rest") > 0.75) & (c("links_per_sentence") < 1.1) & (c("tag_share") < 0.3) & (c("top_triple") < 0.2))
+        ((c("sentence_rest") > 0.75) & (c("links_per_sentence") < 1.1) & (c("tag_share") < 0.3) & ((c("top_triple") < 0.2) | (c("top_triple") < 0.35) & (c("repeated_pairs") < 0.55)))
+        | ((c("link_share") < 0.05) & (c("tag_share") < 0.05) & (c("product_share") < 0.05) & (c("keyword_share") < 0.2) & (c("repeat_share") < 0.1) & (c("top_triple") < 0.2))
         | ((c("row_share") > 0.6) & (c("link_share") < 0.3) & (c("product_share") < 0.1) & (c("top_triple") < 0.5))
         | ((c("length") < 2.5) & (c("links_per_word") == 0) & (c("tag_share") == 0))
     )
