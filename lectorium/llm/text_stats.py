@@ -40,8 +40,8 @@ COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 #: Common words that stand in plain names of things as well.
 IN_NAMES = frozenset("of de des du del do da di von la le el".split())
 
-#: Letters, digits and the marks of letters.
-_WORD = re.compile("(?:[^\\W_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u0dff\u0e31-\u0e4e])+")
+#: Letters, digits and the marks of letters, in texts whose underscores are blanks.
+_WORD = re.compile("[\\w\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u0dff\u0e31-\u0e4e]+")
 _STOPS = re.compile(r"[.!?…。！？।؟;:]")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿가-힣ｦ-ﾟ]")
 _THAI = re.compile("[฀-๿]")
@@ -58,7 +58,7 @@ _PAIR = re.compile(r"\w=|→|=>|->")
 
 def line_vector(s: str, lower: str) -> list[int]:
     """Additive counts of (a part of) a line."""
-    words = _WORD.findall(lower)
+    words = _WORD.findall(lower.replace("_", " ") if "_" in lower else lower)
     known = [w for w in words if w in COMMON]
     plain = s.isascii()
     return [
