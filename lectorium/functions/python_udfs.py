@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectorium.functions.text import DECORATIVE
 
@@ -102,22 +103,22 @@ def html_text(html: str | None) -> str | None:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(compatibility_form, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_title(texts: pd.Series) -> pd.Series:
     return texts.map(title_key, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(texts: pd.Series) -> pd.Series:
     return texts.map(html_text, na_action="ignore")
 
 
-@F.pandas_udf("struct<text string, changed boolean>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())]))
 def repair_text(texts: pd.Series) -> pd.DataFrame:
     rows = [repaired(None if t is None or t is pd.NA else t) for t in texts.astype(object).where(texts.notna(), None)]
     return pd.DataFrame(rows, columns=["text", "changed"])
