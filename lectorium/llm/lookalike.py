@@ -99,19 +99,37 @@ def _unseen() -> str:
     return "".join(s for s, to in compiled().items() if not to) + JOINERS
 
 
-@lru_cache(maxsize=1)
-def _pattern() -> re.Pattern[str]:
-    """The transducer's states as one pattern: a listed character or a base with the marks after it, longest first."""
-    table = compiled()
-    marks = "̀-֑ͯ-ׇؐ-ًؚ-ٟٓ-़়ٕাৗ଼ାୖୗாௗౖೂೕೖാൗ්ාෟီᬵ゙゚ﾞﾟ"
-    singles = sorted(ord(s) for s in table if len(s) == 1)
+def _spans(codes: list[int]) -> str:
+    """Sorted code points as ranges of a character class."""
     spans, start = [], None
-    for a, b in zip(singles, [*singles[1:], None]):
+    for a, b in zip(codes, [*codes[1:], None]):
         start = a if start is None else start
         if b != a + 1:
             spans.append(f"\\U{start:08x}-\\U{a:08x}")
             start = None
-    listed = "".join(spans)
+    return "".join(spans)
+
+
+def _marks() -> list[int]:
+    """Characters that may join the one before: marks with a class, second parts of compositions, Hangul vowels and finals."""
+    codes = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3), 0xFF9E, 0xFF9F}
+    for code in range(0x300, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.combining(c):
+            codes.add(code)
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<") and " " in parts:
+            codes.add(int(parts.split()[1], 16))
+    return sorted(c for c in codes if c > 0x7F)
+
+
+@lru_cache(maxsize=1)
+def _pattern() -> re.Pattern[str]:
+    """The transducer's states as one pattern: a listed character or a base with the marks after it, longest first."""
+    table = compiled()
+    marks = _spans(_marks())
+    singles = sorted(ord(s) for s in table if len(s) == 1)
+    listed = _spans(singles)
     unseen = _unseen()
     return re.compile(f"[^{marks}\\s{unseen}](?:[{unseen}]*[{marks}])+|[{JOINERS}]+|[{listed}]")
 

@@ -42,14 +42,21 @@ def place(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
                 if count > left:
                     heapq.heappush(groups, (used, first + left, count - left))
                     count = left
-            else:
-                used, first, count = 0, packs, left
-                packs += left
-            own.append((rank, first, used))
-            if used + length < capacity:
-                heapq.heappush(groups, (used + length, first, count))
-            rank += count
-            left -= count
+                own.append((rank, first, used))
+                if used + length < capacity:
+                    heapq.heappush(groups, (used + length, first, count))
+                rank, left = rank + count, left - count
+                continue
+            # no pack has room: new ones, each filled with as many of this length as it holds, the last with the rest
+            each = capacity // length
+            for count, items in ((left // each, each), (1, left % each)):
+                if not count or not items:
+                    continue
+                own += [(rank + i * count, packs, i * length) for i in range(items)]
+                if items * length < capacity:
+                    heapq.heappush(groups, (items * length, packs, count))
+                rank, packs = rank + count * items, packs + count
+            left = 0
     return {k: np.array(v, dtype=np.int64) for k, v in slots.items()}
 
 

@@ -78,14 +78,14 @@ def part_of_line(s: str) -> Line:
 
 def _ending_word(s: str) -> str:
     i = len(s)
-    while i and (s[i - 1].isalnum()):
+    while i and s[i - 1] != "_" and _WORD.match(s[i - 1]):
         i -= 1
     return s[i:]
 
 
 def _starting_word(s: str) -> str:
     i = 0
-    while i < len(s) and s[i].isalnum():
+    while i < len(s) and s[i] != "_" and _WORD.match(s[i]):
         i += 1
     return s[:i]
 
