@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectorium.session import row_numbers
+
 
 def current(rows: DataFrame, key: str, time: str) -> DataFrame:
     """One row for each key, the latest delivery; null keys are dropped. A partial maximum is taken before the shuffle."""
@@ -43,22 +45,10 @@ def new_files(files: DataFrame, book: DataFrame, force: bool = False) -> DataFra
 
 
 def with_ids(rows: DataFrame, stored: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """`rows` with ids that go on from the greatest stored one, in the given order.
-
-    Ranks are counted within hash parts and offset by the parts' sizes, so no task sorts all rows: the order holds
-    within ranges of `order`, as a range partitioning gives them.
-    """
+    """`rows` with ids that go on from the greatest stored one, in the given order; no task sorts all rows."""
     last = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).first()["last"]
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    ranked = parts.withColumn("_at", F.row_number().over(inside))
-    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    offsets, total = [], int(last)
-    for part in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(part, 0)
-    start = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]]), F.col("_part") + 1)
-    return ranked.withColumn(key, start + F.col("_at")).drop("_part", "_at")
+    ranked = row_numbers(rows.drop(key), [], order, key)
+    return ranked.withColumn(key, (F.col(key) + int(last)).cast("bigint"))
 
 
 def without_vectors(chunk: DataFrame, vectors: DataFrame, id_column: str = "chunk_id") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectorium.functions.text import looks_corrupt, non_blank_length, strip
 from lectorium.schema import CORRUPT_PAGES, CORRUPT_SHARE, OCR_RETRY_CHARS, PAGE_BATCH, SAMPLE_PAGES
+from lectorium.session import row_numbers
 
 
 def is_sampled(position: Column, total: Column) -> Column:
@@ -20,9 +21,8 @@ def classify(book: DataFrame, page: DataFrame) -> DataFrame:
     enough of the sampled pages look corrupt, else ok. Null texts are blank."""
     pages = page.select("book_id", "page_num", F.coalesce("text", F.lit("")).alias("text")).withColumn("full", strip(F.col("text")) != "")
     every = pages.groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if("full").alias("full_pages"))
-    # positions among the pages with text, by rank; only numbers are sorted here, texts are joined by key after
-    order = Window.partitionBy("book_id").orderBy("page_num")
-    places = pages.where("full").select("book_id", "page_num", (F.row_number().over(order) - 1).alias("place")).join(every, "book_id")
+    # positions among the pages with text, by rank; only numbers are ranked, in parts of any book; texts are joined after
+    places = row_numbers(pages.where("full").select("book_id", "page_num"), ["book_id"], ["page_num"], "place").withColumn("place", F.col("place") - 1).join(every, "book_id")
     sampled = places.where(is_sampled(F.col("place"), F.col("full_pages"))).select("book_id", "page_num")
     checked = pages.where("full").join(sampled, ["book_id", "page_num"], "left_semi").groupBy("book_id").agg(F.count("*").alias("checked"), F.count_if(looks_corrupt(F.col("text"))).alias("corrupt"))
     rows = book.select("book_id").distinct().join(every, "book_id", "left").join(checked, "book_id", "left")
