@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectorium.session import checkpointed, row_numbers
+
+__all__ = ["ARROW_ROWS", "bound_batches", "checkpointed", "once", "row_numbers", "table", "vocabulary_path"]
+
 #: Rows of one Arrow batch handed to Python; with texts of some hundred KB a batch stays under about 100 MB.
 ARROW_ROWS = 500
 
@@ -22,18 +25,6 @@ def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests, local runs) one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectorium-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def once(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row for each key with `columns`; re-delivered rows repeat all values, so any of them will do.
 

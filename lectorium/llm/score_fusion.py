@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectorium.llm.common import row_numbers
+
 #: Bounded value of an item that a list doesn't have; no usable score is squashed below it.
 FLOOR = 0.02
 #: A deviation of this many robust standard deviations is squashed to the logistic of 1.
@@ -32,8 +34,30 @@ def usable_scores(results: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "score_list", "chunk_id").agg(F.min("score").alias("least"), F.max("score").alias("greatest"))
 
 
-def fused_ranking(results: DataFrame, lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, chunk_id, fused_score, fused_rank), best first; ties go to the smaller chunk_id.
+#: Half-width, in ranks, of the bracket around the median; the sketch that finds it is ten times as exact.
+BRACKET, ACCURACY = 0.001, 10_000
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(`keys`, `name`): the exact median of each group, the mean of the two middle values of an even number.
+
+    A sketch of bounded size brackets the median; only the distinct values within the bracket are ordered, after
+    their counts are summed, so a group of any size and with any ties passes through partial aggregates.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    sketch = F.percentile_approx(value, F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), ACCURACY)
+    brackets = df.groupBy(*keys).agg(sketch.alias("_q"), F.count("*").alias("_total"))
+    placed = counts.join(brackets, keys)
+    below = placed.groupBy(*keys).agg(F.sum(F.when(F.col("_v") < F.col("_q")[0], F.col("_n")).otherwise(0)).alias("_below"))
+    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # what is in the bracket
+    inside = placed.where(F.col("_v").between(F.col("_q")[0], F.col("_q")[1])).join(below, keys).withColumn("_upto", F.col("_below") + F.sum("_n").over(order))
+    holds = [(F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at) for at in (F.expr("(_total - 1) div 2"), F.expr("_total div 2"))]
+    middle = inside.groupBy(*keys).agg(*[F.max(F.when(h, F.col("_v"))).alias(f"_m{i}") for i, h in enumerate(holds)])
+    return middle.select(*keys, ((F.col("_m0") + F.col("_m1")) / 2).alias(name))
+
+
+def fused_scores(results: DataFrame, lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, chunk_id, fused_score) of every chunk that a list has.
 
     `lists` gives for each score_list which end is better ('low' or 'high'); lists it doesn't name, and lists of a
     query without any usable score, take no part. `weights` (1 each) are relative. A list whose usable scores
@@ -43,9 +67,9 @@ def fused_ranking(results: DataFrame, lists: DataFrame, weights: dict[str, float
     known = F.broadcast(lists.where("better in ('low', 'high')").select("score_list", "better").dropDuplicates(["score_list"]))
     scores = usable_scores(results).join(known, "score_list")
     scores = scores.select("query_id", "score_list", "chunk_id", F.when(F.col("better") == "high", F.col("greatest")).otherwise(-F.col("least")).alias("score"))
-    middle = scores.groupBy("query_id", "score_list").agg(F.expr("percentile(score, 0.5)").alias("median"))
-    scores = scores.join(middle, ["query_id", "score_list"]).withColumn("gap", F.abs(F.col("score") - F.col("median")))
-    spread = scores.groupBy("query_id", "score_list").agg(F.expr("percentile(gap, 0.5)").alias("mad"), F.avg("gap").alias("mean_gap"))
+    keys = ["query_id", "score_list"]
+    scores = scores.join(medians(scores, keys, "score", "median"), keys).withColumn("gap", F.abs(F.col("score") - F.col("median")))
+    spread = scores.groupBy(*keys).agg(F.avg("gap").alias("mean_gap")).join(medians(scores, keys, "gap", "mad"), keys)
     unit = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(F.when(F.col("mean_gap") > 0, F.col("mean_gap") * 1.2533))
     z = F.coalesce((F.col("score") - F.col("median")) / unit, F.lit(0.0))
     bounded = FLOOR + (1 - FLOOR) / (1 + F.exp(-SLOPE * z))
@@ -56,11 +80,15 @@ def fused_ranking(results: DataFrame, lists: DataFrame, weights: dict[str, float
     gains = scores.join(spread, ["query_id", "score_list"]).select("query_id", "chunk_id", "score_list", weight.alias("weight"), F.log(bounded).alias("log"))
     total = gains.select("query_id", "score_list", "weight").distinct().groupBy("query_id").agg(F.sum("weight").alias("total"))
     items = gains.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * (F.col("log") - log_floor)).alias("gain"))
-    fused = items.join(total, "query_id").select("query_id", "chunk_id", F.exp(log_floor + F.col("gain") / F.col("total")).alias("fused_score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("fused_score").desc(), "chunk_id")
-    return fused.withColumn("fused_rank", F.row_number().over(order))
+    return items.join(total, "query_id").select("query_id", "chunk_id", F.exp(log_floor + F.col("gain") / F.col("total")).alias("fused_score"))
+
+
+def fused_ranking(results: DataFrame, lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, chunk_id, fused_score, fused_rank), best first; ties go to the smaller chunk_id."""
+    return row_numbers(fused_scores(results, lists, weights), ["query_id"], [F.col("fused_score").desc(), F.col("chunk_id").asc()], "fused_rank")
 
 
 def best(results: DataFrame, lists: DataFrame, k: int = 5) -> DataFrame:
-    """The k best of each query: (query_id, chunk_id)."""
-    return fused_ranking(results, lists).where(F.col("fused_rank") <= k).select("query_id", "chunk_id")
+    """The k best of each query: (query_id, chunk_id). Each task keeps its own k best before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.col("fused_score").desc(), "chunk_id")
+    return fused_scores(results, lists).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).select("query_id", "chunk_id")
