@@ -23,6 +23,8 @@ from lectorium.llm.common import bound_batches
 
 #: Rows of the training sample: a documented bound; the sample is the rows of the smallest hashes.
 SAMPLE_ROWS = 3_000
+#: Longer texts don't enter the sample, which the driver holds.
+SAMPLE_CHARACTERS = 20_000
 #: Rows of the sample garbled by each chain.
 ROWS_PER_CHAIN = 400
 BUCKETS = 1 << 14
@@ -288,7 +290,7 @@ def find(text: str, model: Model, known: dict | None = None) -> tuple[bool, str,
 
 def sample(df: DataFrame, id_column: str, text_column: str, rows: int = SAMPLE_ROWS) -> list[str]:
     """Texts of the `rows` rows with the smallest hashes of their ids."""
-    picked = df.where(F.col(text_column).isNotNull()).select(F.xxhash64(id_column).alias("h"), text_column).orderBy("h").limit(rows)
+    picked = df.where(F.length(text_column) <= SAMPLE_CHARACTERS).select(F.xxhash64(id_column).alias("h"), text_column).orderBy("h").limit(rows)
     return [r[1] for r in picked.collect()]
 
 
