@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches
+from lectorium.llm.common import bound_batches, checkpointed
 
 #: Vectors of one side in one comparison; larger buckets are compared block by block.
 BLOCK = 2_000
@@ -93,8 +93,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _entries(vectors: DataFrame, hashing: Hashing, columns: list[str], kinds: dict[str, str]) -> DataFrame:
-    """A row for each vector, table and probe: (`columns`, table, bucket, home), home for the nearest bucket."""
+def _entries(vectors: DataFrame, hashing: Hashing, kind: str) -> DataFrame:
+    """A row for each vector, table and probe: (rep, small, table, bucket, home), home for the nearest bucket.
+
+    `small` holds the vector's components in steps of 1/127 as bytes.
+    """
     bound_batches(vectors.sparkSession, 4_000)
     shared = vectors.sparkSession.sparkContext.broadcast(hashing)
 
@@ -104,17 +107,17 @@ def _entries(vectors: DataFrame, hashing: Hashing, columns: list[str], kinds: di
             if not batch.num_rows:
                 continue
             unit = _matrix(batch.column("vec"), hashing.dimension)
+            steps = np.round(unit * 127).astype(np.int8)
+            small = pa.array([row.tobytes() for row in steps], pa.binary())
             for table in range(hashing.tables):
                 codes = hashing.buckets(unit, table)
                 n, probes = codes.shape
                 at = pa.array(np.repeat(np.arange(n), probes))
-                own = [batch.column(c).take(at) for c in columns]
                 home = np.zeros((n, probes), bool)
                 home[:, 0] = True
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(n * probes, table, np.int32)), pa.array(codes.ravel()), pa.array(home.ravel())], [*columns, "table", "bucket", "home"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), small.take(at), pa.array(np.full(n * probes, table, np.int32)), pa.array(codes.ravel()), pa.array(home.ravel())], ["rep", "small", "table", "bucket", "home"])
 
-    fields = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return vectors.mapInArrow(run, f"{fields}, table int, bucket bigint, home boolean")
+    return vectors.mapInArrow(run, f"rep {kind}, small binary, table int, bucket bigint, home boolean")
 
 
 def _axes_for(rows: int, padded: int) -> int:
@@ -137,17 +140,20 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
     if dimension is None:
         return df.select(F.col(id_column).alias("id_a"), F.col(id_column).alias("id_b")).limit(0)
     vectors = usable(df, id_column, vector_column, dimension)
-    members = vectors.select("id", F.md5(F.to_json("vec")).alias("key"), "vec")
-    classes = members.groupBy("key").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"))
+    members = checkpointed(vectors.select("id", F.struct(F.xxhash64("vec").alias("h"), F.hash("vec").alias("g")).alias("key"), "vec"))
+    classes = members.groupBy("key").agg(F.min_by(F.struct("id", "vec"), "id").alias("x")).select("key", F.col("x.id").alias("rep"), F.col("x.vec").alias("vec"))
     rows = classes.count()
     hashing = Hashing(dimension, tables, _axes_for(rows, 1 << max(1, (dimension - 1).bit_length())), probes)
 
-    # int8 copies: a component is off by at most half a step, so cosines by little; the exact comparison follows
-    small = classes.select("rep", "vec", F.transform("vec", lambda x: F.round(x * 127).cast("tinyint")).alias("small"))
-    entries = _entries(small, hashing, ["rep", "small"], {"rep": kind, "small": "array<tinyint>"})
-    entries = entries.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 20)))
+    # copies in bytes: a component is off by at most half a step, so cosines by little; the exact comparison follows
+    entries = _entries(classes.select("rep", "vec"), hashing, kind)
     large = entries.groupBy("table", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    entries = entries.join(large, ["table", "bucket"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+    large = checkpointed(large)
+    if large.isEmpty():
+        entries = entries.withColumn("blocks", F.lit(1))
+    else:
+        entries = entries.join(large, ["table", "bucket"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+    entries = entries.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 20)))
     # entry in block i meets all pairs of blocks that hold i
     entries = entries.withColumn("own", F.pmod("salt", F.col("blocks")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -164,7 +170,7 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         ids, home, own, cross = (group.column(c).to_numpy()[order] for c in ("rep", "home", "own", "cross"))
-        m = _matrix(group.column("small"), dimension)[order]
+        m = np.frombuffer(b"".join(group.column("small").to_pylist()), np.int8).reshape(-1, dimension)[order]
         bounds = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
         found: list[np.ndarray] = []
         for start, end in zip(bounds[:-1], bounds[1:]):
