@@ -149,7 +149,7 @@ def line_kind(line: Line) -> int:
     commons = v[COMMONS] - v[NAMES]
     if v[CELLS] >= 2 and size <= 5 * (v[CELLS] + 1) and commons <= 0.15 * words and not (v[STOPS] and ended and size > 6):
         return STRUCTURED
-    if v[CELLS] >= 1 and "\t" in head and size <= 12 and not ended:
+    if v[CELLS] >= 1 and ("\t" in head or "   " in head.strip()) and size <= 12 and not ended:
         return STRUCTURED
     if v[COMMAS] >= 2 and commons <= 0.08 * words and (not ended or tail[-1:] in ";:") and not v[STOPS] and size <= 4.5 * (v[COMMAS] + 1):
         return STRUCTURED
@@ -172,8 +172,8 @@ def line_kind(line: Line) -> int:
 # totals of complete lines: counts, then characters and numbers of lines by kind, and lines that end in punctuation
 LINES, ENDED = WIDTH, WIDTH + 1
 KIND_CHARS, KIND_LINES = WIDTH + 2, WIDTH + 7
-SHORT_STOPS = WIDTH + 12
-TOTALS = WIDTH + 13
+SHORT_STOPS, SHORT_WORDS, SHORT_COMMONS = WIDTH + 12, WIDTH + 13, WIDTH + 14
+TOTALS = WIDTH + 15
 
 
 def add_line(totals: list[int], line: Line) -> None:
@@ -188,6 +188,8 @@ def add_line(totals: list[int], line: Line) -> None:
         totals[ENDED] += _ENDED.search(line[2].rstrip()) is not None
     if kind in (SHORT_ITEM, SHORT_PLAIN) or kind == PROSE and v[SOLID] < 40:
         totals[SHORT_STOPS] += v[STOPS]
+        totals[SHORT_WORDS] += v[WORDS]
+        totals[SHORT_COMMONS] += v[COMMONS] - v[NAMES]
 
 
 # a state: None for no text; (line,) within one line; (first line, totals, last line)
@@ -237,15 +239,16 @@ def totals_of(state: State) -> list[int]:
 def verdict(t: list[int]) -> tuple[float, bool | None]:
     """(share of characters that belong to structured lines, whether the text is prose; None for blank texts).
 
-    Short lines without structure are a list's items if at least half of them look like names of things and
-    hardly a sentence ends in them; else they are prose that was broken into lines.
+    Short lines without structure are a list's items if at least half of them look like names of things, hardly a
+    sentence ends in them and few of their words are common ones; else they are prose that was broken into lines.
     """
     solid = sum(t[KIND_CHARS : KIND_CHARS + 5])
     if not solid:
         return 0.0, None
     items, plain = t[KIND_LINES + SHORT_ITEM], t[KIND_LINES + SHORT_PLAIN]
     short = t[KIND_CHARS + SHORT_ITEM] + t[KIND_CHARS + SHORT_PLAIN]
-    listed = items >= plain and t[SHORT_STOPS] <= 0.15 * (items + plain) and (items + plain >= 3 or t[KIND_LINES + STRUCTURED])
+    spoken = t[SHORT_STOPS] > 0.12 * (items + plain) or t[SHORT_COMMONS] > 0.1 * t[SHORT_WORDS]
+    listed = items >= plain and not spoken and (items + plain >= 3 or t[KIND_LINES + STRUCTURED])
     share = (t[KIND_CHARS + STRUCTURED] + (short if listed else 0)) / solid
     return share, share <= 0.5
 
