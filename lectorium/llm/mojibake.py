@@ -33,9 +33,16 @@ BUCKETS = 1 << 14
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp932", "gbk")
 TRUE_MULTI = ("utf-8", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
 TRUE_SINGLE = ("cp1251", "koi8-r", "cp866", "cp1253", "cp874", "cp1255", "cp1256")
+#: Wrong encodings under which bytes get lost, as not every sequence is defined there.
+LOSING = ("cp1252", "cp1250", "cp932", "gbk")
 #: Chains of two steps: text garbled twice.
 TWICE = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
 
+#: Western encodings taken for each other: a character or two of a word are wrong, so whole lines are judged.
+WESTERN = (("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"))
+#: Gain in log probability that a line, and a page, must show for that.
+LINE_GAIN, PAGE_GAIN = 10.0, 16.0
+
 Chain = tuple[tuple[str, str], ...]
 
 
@@ -189,7 +196,7 @@ def train(texts: list[str], rows: int = ROWS_PER_CHAIN) -> Model:
     turns = [text for i in range(max(map(len, by_script.values()), default=0)) for own in by_script.values() for text in own[i : i + 1]]
     classes = chains()
     first = _fit(turns, classes, max(20, rows // 8))
-    kept = [t for t in turns if not find(t, first)[0]]
+    kept = [t for t in turns if not find(t, first, western=False)[0]]
     return _fit(kept or turns, classes, rows)
 
 
@@ -229,13 +236,46 @@ def _token(token: str, model: Model) -> tuple[Chain | None, str, float, bool]:
                 best = (chain, text, value, True)
     if best:
         return best
-    lossy = next((k for k in order[:3] if k != 0 and model.classes[k - 1][-1][0] in TRUE_MULTI), None)
+    lossy = next((k for k in order[:3] if k != 0 and model.classes[k - 1][-1][0] in TRUE_MULTI and model.classes[k - 1][-1][1] in LOSING), None)
     if lossy is not None and order[0] != 0 and scores[lossy] - scores[0] > max(15.0, 1.5 * odd) and odd >= 6 and varied >= 5:
         return model.classes[lossy - 1], token, float(scores[lossy] - scores[0]), False
     return None, token, 0.0, False
 
 
-def find(text: str, model: Model, known: dict | None = None) -> tuple[bool, str, bool, str | None]:
+def _western(lines: list[str], model: Model, known: dict) -> tuple[list[str], float, Chain | None]:
+    """(lines put right, gain, chain) for the one Western chain that makes the text's lines likeliest."""
+    best: tuple[float, Chain | None, dict[int, str]] = (0.0, None, {})
+    odd_lines = [(n, [t for t in line.split(" ") if not t.isascii()]) for n, line in enumerate(lines) if not line.isascii()]
+    for step in WESTERN:
+        total, made = 0.0, {}
+        for n, tokens in odd_lines:
+            gain, worst, to = 0.0, 0.0, {}
+            for t in tokens:
+                got = known.get((step, t))
+                if got is None:
+                    got = known[step, t] = _western_token(t, step, model)
+                to[t] = got[0]
+                gain, worst = gain + got[1], min(worst, got[1])
+            if gain >= LINE_GAIN and worst > -2.0:
+                total += gain
+                made[n] = " ".join(to.get(t, t) for t in lines[n].split(" "))
+        if total > best[0]:
+            best = (total, (step,), made)
+    total, chain, made = best
+    return [made.get(n, line) for n, line in enumerate(lines)], total, chain
+
+
+def _western_token(token: str, step: tuple[str, str], model: Model) -> tuple[str, float]:
+    got = restore(token, (step,)) if "\ufffd" not in token else None
+    if got is None or got[0] == token or _UNLIKELY.search(got[0]):
+        return token, 0.0
+    if sum(c.isascii() and c.isalpha() for c in token) < 2:  # signs by themselves say nothing
+        return got[0], 0.0
+    odd = len(_NON_ASCII.findall(token))
+    return got[0], 3.0 * odd * (model.clean_rate(got[0]) - model.clean_rate(token))
+
+
+def find(text: str, model: Model, known: dict | None = None, western: bool = True) -> tuple[bool, str, bool, str | None]:
     """(garbled, text restored as far as it can be, whether all of it was, chain of the strongest evidence)."""
     if text.isascii():
         return False, text, False, None
@@ -283,7 +323,10 @@ def find(text: str, model: Model, known: dict | None = None) -> tuple[bool, str,
     made = "\n".join(lines)
     # strict decoding proves little of encodings in which almost any bytes are text: those need more evidence
     if strict < 2.0 and weak < 40.0:
-        return False, text, False, None
+        lines, gain, step = _western(text.split("\n"), model, known) if western else ([], 0.0, None)
+        if gain < PAGE_GAIN or step is None:
+            return False, text, False, None
+        made, lost, evidence = "\n".join(lines), False, {step: gain}
     chain = " | ".join(f"{right} read as {wrong}" for right, wrong in max(evidence, key=evidence.get))
     return True, made, not lost, chain
 
