@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import row_numbers
+from lectorium.llm.common import checkpointed, row_numbers
 
 #: Bounded value of an item that a list doesn't have; no usable score is squashed below it.
 FLOOR = 0.02
@@ -67,8 +67,9 @@ def fused_scores(results: DataFrame, lists: DataFrame, weights: dict[str, float]
     known = F.broadcast(lists.where("better in ('low', 'high')").select("score_list", "better").dropDuplicates(["score_list"]))
     scores = usable_scores(results).join(known, "score_list")
     scores = scores.select("query_id", "score_list", "chunk_id", F.when(F.col("better") == "high", F.col("greatest")).otherwise(-F.col("least")).alias("score"))
-    keys = ["query_id", "score_list"]
-    scores = scores.join(medians(scores, keys, "score", "median"), keys).withColumn("gap", F.abs(F.col("score") - F.col("median")))
+    # both are read several times below, so each is worked out once
+    keys, scores = ["query_id", "score_list"], checkpointed(scores)
+    scores = checkpointed(scores.join(medians(scores, keys, "score", "median"), keys).withColumn("gap", F.abs(F.col("score") - F.col("median"))))
     spread = scores.groupBy(*keys).agg(F.avg("gap").alias("mean_gap")).join(medians(scores, keys, "gap", "mad"), keys)
     unit = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(F.when(F.col("mean_gap") > 0, F.col("mean_gap") * 1.2533))
     z = F.coalesce((F.col("score") - F.col("median")) / unit, F.lit(0.0))

@@ -42,6 +42,7 @@ _ROW = re.compile(r"\.{4,}\s*\d|(?:\b[\w.]+=\S+\s*){2}|^\s*[\w.]+\s?[:=]\s?\S{1,
 #: What stands beside a product's name, in natural order.
 PRODUCT_MARKS = "sku size pack pcs new sale deal discount off free cheap buy shipping price xl xxl"
 _PRODUCT = re.compile(r"\bsku\b|\bsize\s+\w{1,3}\b|\b\d+-?pack\b|[-−]\d{1,2}\s?%|[€$£]\s?\d|\b(?:" + "|".join(PRODUCT_MARKS.split()) + r")\b", re.IGNORECASE)
+_ARTICLE = re.compile(r"\bsku\b|\bsize\s+\w{1,3}\b|\b\d+-?pack\b", re.IGNORECASE)
 _SEPARATOR = re.compile(r"[|/+·•→]|[,;](?=\s)|\s-\s")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣฀-๿]")
@@ -77,7 +78,8 @@ def features(text: str) -> list[float]:
             row += len(re.sub(r"\s", "", plain))
             continue
         found = len(_PRODUCT.findall(plain))
-        if found and found * 7 >= len(_WORD.findall(plain)):
+        told = len(_WORD.findall(plain)) >= 5 and _STOP.search(plain.rstrip()[-4:]) and not _ARTICLE.search(plain)  # a sentence with prices
+        if found and found * 7 >= len(_WORD.findall(plain)) and not told:
             product += len(re.sub(r"\s", "", plain))
             continue
         for m in _PIECE.finditer(plain):
@@ -92,7 +94,7 @@ def features(text: str) -> list[float]:
             elif _CJK.search(piece):
                 good = solid_piece >= 6
             else:
-                good = len(ws) >= 4 and len(set(ws)) >= 0.55 * len(ws) and sum(map(len, ws)) >= 2.5 * len(ws)
+                good = len(ws) >= 3 and len(set(ws)) >= 0.55 * len(ws) and sum(map(len, ws)) >= 2.5 * len(ws)
             twice = sum(pairs[p] > 2 for p in zip(ws, ws[1:]))
             known = sum(counts[w] > 1 for w in ws)
             if ws and known >= 0.7 * len(ws) and (not ended or twice >= 0.4 * len(ws)):
@@ -125,12 +127,12 @@ def weak_label() -> Column:
         | ((c("repeat_share") + c("keyword_share") > 0.9) & (c("sentence_share") < 0.3) & (c("row_share") < 0.05) & (c("digit_share") < 0.1) & (c("distinct_words") < 0.4))
         | ((c("top_triple") > 0.25) & (c("repeated_pairs") > 0.6) & (c("row_share") < 0.1) & (c("distinct_words") < 0.4))
         | ((c("top_triple") > 0.4) & (c("keyword_share") > 0.6) & (c("row_share") < 0.1))
-        | ((c("top_triple") > 0.2) & (c("repeated_pairs") > 0.75) & (c("distinct_words") < 0.15) & (c("row_share") < 0.1))
+        | ((c("top_triple") > 0.15) & (c("repeated_pairs") > 0.75) & (c("distinct_words") < 0.15) & (c("row_share") < 0.1))
     )
     clean = (
-        ((c("sentence_rest") > 0.75) & (c("links_per_sentence") < 1.1) & (c("tag_share") < 0.3) & ((c("top_triple") < 0.2) | (c("top_triple") < 0.35) & (c("repeated_pairs") < 0.55)))
+        ((c("sentence_rest") > 0.75) & (c("links_per_sentence") < 1.1) & (c("tag_share") < 0.3) & ((c("top_triple") < 0.2) | (c("repeated_pairs") < 0.55) & ((c("top_triple") < 0.35) | (c("keyword_share") < 0.3))))
         | ((c("link_share") < 0.05) & (c("tag_share") < 0.05) & (c("product_share") < 0.05) & (c("keyword_share") < 0.2) & (c("repeat_share") < 0.1) & (c("top_triple") < 0.2))
-        | ((c("row_share") > 0.6) & (c("link_share") < 0.3) & (c("product_share") < 0.1) & (c("top_triple") < 0.5))
+        | ((c("row_share") > 0.5) & (c("link_share") < 0.45) & (c("row_share") > c("link_share")) & (c("product_share") < 0.1) & (c("top_triple") < 0.5))
         | ((c("length") < 2.5) & (c("links_per_word") == 0) & (c("tag_share") == 0))
     )
     return F.when(spam & ~clean, F.lit(1.0)).when(clean & ~spam, F.lit(0.0))
@@ -165,7 +167,7 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
     # the rarer label weighs as much as the other, up to ten times a row
     weight = F.when(F.col("label") == 1.0, F.lit(min(10.0, max(0.1, counts[0.0] / counts[1.0])))).otherwise(F.lit(1.0))
     sample = sample.withColumn("weight", weight)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", bootstrap=True, subsamplingRate=0.7, weightCol="weight", maxMemoryInMB=64, seed=11).fit(sample)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", bootstrap=True, subsamplingRate=1.0, weightCol="weight", maxMemoryInMB=64, seed=11).fit(sample)
 
 
 def spam_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
