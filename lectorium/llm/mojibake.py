@@ -151,6 +151,7 @@ class Model:
 
     logs: np.ndarray
     classes: list[Chain]
+    words: frozenset[str] = frozenset()
     prior: float = 4.0
 
     def scores(self, text: str) -> np.ndarray:
@@ -164,6 +165,9 @@ class Model:
         return float(self.logs[0, at].mean()) if len(at) else 0.0
 
 
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+
+
 def _fit(clean: list[str], classes: list[Chain], rows: int) -> Model:
     counts = np.full((len(classes) + 1, BUCKETS), 0.02, dtype=np.float64)
     for text in clean:
@@ -181,7 +185,7 @@ def _fit(clean: list[str], classes: list[Chain], rows: int) -> Model:
                 np.add.at(counts[k], bigrams(bad), 1)
                 made += 1
     logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    return Model(logs, classes)
+    return Model(logs, classes, frozenset(w for text in clean for w in _LETTERS.findall(text.lower())))
 
 
 def train(texts: list[str], rows: int = ROWS_PER_CHAIN) -> Model:
@@ -271,8 +275,9 @@ def _western_token(token: str, step: tuple[str, str], model: Model) -> tuple[str
         return token, 0.0
     if sum(c.isascii() and c.isalpha() for c in token) < 2:  # signs by themselves say nothing
         return got[0], 0.0
-    odd = len(_NON_ASCII.findall(token))
-    return got[0], 3.0 * odd * (model.clean_rate(got[0]) - model.clean_rate(token))
+    gain = 3.0 * len(_NON_ASCII.findall(token)) * (model.clean_rate(got[0]) - model.clean_rate(token))
+    # only words of the sample speak for it
+    return got[0], gain if gain < 0 or all(w in model.words for w in _LETTERS.findall(got[0].lower())) else 0.0
 
 
 def find(text: str, model: Model, known: dict | None = None, western: bool = True) -> tuple[bool, str, bool, str | None]:
@@ -345,7 +350,7 @@ def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text"
     """
     model = train(sample(df, id_column, text_column, rows))
     bound_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((model.logs, model.classes))  # about 120 classes x BUCKETS x 4 bytes: 8 MB
+    shared = df.sparkSession.sparkContext.broadcast((model.logs, model.classes, model.words))  # about 130 classes x BUCKETS x 4 bytes, and the words of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(*shared.value), {}
