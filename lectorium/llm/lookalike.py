@@ -11,13 +11,14 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches
+from lectorium.llm.common import bound_batches, checkpointed
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -94,9 +95,8 @@ def compiled() -> dict[str, str]:
     return table
 
 
-@lru_cache(maxsize=1)
-def _unseen() -> str:
-    return "".join(s for s, to in compiled().items() if not to) + JOINERS
+def _unseen() -> list[int]:
+    return sorted({ord(s) for s, to in compiled().items() if not to} | {ord(j) for j in JOINERS})
 
 
 def _spans(codes: list[int]) -> str:
@@ -123,15 +123,33 @@ def _marks() -> list[int]:
     return sorted(c for c in codes if c > 0x7F)
 
 
+@dataclass(frozen=True)
+class _Patterns:
+    """The transducer's states as patterns; classes without characters above U+FFFF match much faster."""
+
+    listed: re.Pattern[str]
+    joining: re.Pattern[str]
+    cluster: re.Pattern[str]
+
+
+@lru_cache(maxsize=2)
+def _patterns(wide: bool) -> _Patterns:
+    def some(codes: list[int]) -> str:
+        return _spans([c for c in codes if wide or c <= 0xFFFF])
+
+    marks, unseen, listed = some(_marks()), some(_unseen()), some(sorted(ord(s) for s in compiled() if len(s) == 1))
+    # a base with the marks after it, joiners, or a listed character; the longest first
+    return _Patterns(re.compile(f"[{listed}]"), re.compile(f"[{marks}{unseen}]"), re.compile(f"[^{marks}\\s{unseen}](?:[{unseen}]*[{marks}])+|[{JOINERS}]+|[{listed}]"))
+
+
+@lru_cache(maxsize=1)
+def _singles() -> dict[int, str]:
+    return {ord(s): to for s, to in compiled().items() if len(s) == 1}
+
+
 @lru_cache(maxsize=1)
-def _pattern() -> re.Pattern[str]:
-    """The transducer's states as one pattern: a listed character or a base with the marks after it, longest first."""
-    table = compiled()
-    marks = _spans(_marks())
-    singles = sorted(ord(s) for s in table if len(s) == 1)
-    listed = _spans(singles)
-    unseen = _unseen()
-    return re.compile(f"[^{marks}\\s{unseen}](?:[{unseen}]*[{marks}])+|[{JOINERS}]+|[{listed}]")
+def _nothing() -> dict[int, None]:
+    return dict.fromkeys(_unseen())
 
 
 def _keeps_joiner(before: str, after: str) -> bool:
@@ -143,7 +161,10 @@ def canonical(text: str) -> str:
     """The consistent form of `text`: same look, one spelling. Letters keep their script (see skeleton)."""
     if text.isascii():
         return text
-    table, unseen = compiled(), dict.fromkeys(map(ord, _unseen()))
+    patterns = _patterns(len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text))
+    if not patterns.joining.search(text):  # single characters only
+        return text.translate(_singles()) if patterns.listed.search(text) else text
+    table, unseen = compiled(), _nothing()
 
     def form(m: re.Match[str]) -> str:
         cluster = m.group()
@@ -170,7 +191,7 @@ def canonical(text: str) -> str:
             i += 1 if to is None else j
         return unicodedata.normalize("NFC", "".join(out))
 
-    return _pattern().sub(form, text)
+    return patterns.cluster.sub(form, text)
 
 
 _TO_LATIN = str.maketrans(LOOKALIKES)
@@ -242,7 +263,7 @@ def same_look_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFram
 
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text <> ''")
-    keyed = rows.withColumn("own", F.md5("text")).mapInArrow(run, f"id {kind}, own string, look string").select("id", "own", F.md5("look").alias("look")).distinct()
+    keyed = checkpointed(rows.withColumn("own", F.md5("text")).mapInArrow(run, f"id {kind}, own string, look string").select("id", "own", F.md5("look").alias("look")).distinct())
     texts = keyed.groupBy("look", "own").count()
     several = texts.groupBy("look").agg(F.count("own").alias("texts")).where("texts > 1").select("look")
     rest = keyed.join(several, "look", "left_semi")
