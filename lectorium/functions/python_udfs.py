@@ -124,7 +124,43 @@ def repair_text(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "changed"])
 
 
+@F.udtf(returnType=T.StructType([T.StructField("chunk_order", T.IntegerType()), T.StructField("body", T.StringType()), T.StructField("char_count", T.IntegerType())]))
+class ChunkText:
+    """chunk_text(text, size, overlap): the chunks of one text, for use in SQL with LATERAL.
+
+    The native form is operators.chunking.chunk_texts; this one gives the same rows.
+    """
+
+    def eval(self, text: str, size: int, overlap: int):
+        if text is None:
+            return
+        bodies, parts, length, tail = [], [], 0, ""
+        for paragraph in (p.strip() for p in re.split(r"\n{2,}", text)):
+            for part in (_cut(paragraph, size) if len(paragraph) > 2 * size else [paragraph] if paragraph else []):
+                if parts and length + len(part) > size:
+                    bodies.append("\n\n".join([tail, *parts] if tail else parts))
+                    tail, parts, length = bodies[-1][-overlap:] if overlap > 0 else "", [], 0
+                parts.append(part)
+                length += len(part)
+        if parts:
+            bodies.append("\n\n".join([tail, *parts] if tail else parts))
+        for i, body in enumerate(bodies):
+            yield i, body, len(body)
+
+
+def _cut(paragraph: str, size: int) -> list[str]:
+    """A long paragraph cut after Japanese sentence ends and line breaks."""
+    out, now = [], ""
+    for piece in re.findall(r"[^。？！\n]*[。？！\n]|[^。？！\n]+$", paragraph):
+        if now and len(now) + len(piece) > size:
+            out.append(now.strip())
+            now = ""
+        now += piece
+    return [*out, now.strip()] if now.strip() else out or [paragraph]
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions callable from SQL under their own names."""
+    spark.udtf.register("chunk_text", ChunkText)
     for name, function in (("nfkc", nfkc), ("normalize_title", normalize_title), ("html_to_text", html_to_text), ("repair_text", repair_text)):
         spark.udf.register(name, function)

@@ -95,3 +95,10 @@ def control_terms(query: Column) -> Column:
 
 def is_comparison(query: Column) -> Column:
     return F.size(control_terms(query)) > 0
+
+
+def is_plain_query(query: Column) -> Column:
+    """Whether a query has no sign or bare operator that a strict full-text grammar would take for its own."""
+    signs = query.rlike("[\\x00-\\x7f&&[^A-Za-z0-9_\\s]]")
+    operators = query.rlike("(?:^|\\s)(?:AND|OR|NOT|NEAR)(?:\\s|$)")
+    return ~signs & ~operators

@@ -31,6 +31,12 @@ def hit_rate(results: DataFrame, expected: DataFrame, cutoff: int = HIT_CUTOFF)
     return rows.select("query_id", F.forall("titles", lambda t: _matches(F.col("found"), t)).alias("hit"))
 
 
+def first_titles(results: DataFrame, cutoff: int = HIT_CUTOFF) -> DataFrame:
+    """(query_id, titles): the titles of the first results, each once, in their order."""
+    top = results.where(F.col("rank") <= cutoff).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "book_title"))).alias("top"))  # at most `cutoff` rows
+    return top.select("query_id", F.array_distinct(F.transform("top", lambda x: x["book_title"])).alias("titles"))
+
+
 def rate(hits: DataFrame) -> DataFrame:
     """One row: hits, total, rate."""
     return hits.agg(F.count_if("hit").alias("hits"), F.count("*").alias("total")).select("hits", "total", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(F.lit(0.0)).alias("rate"))

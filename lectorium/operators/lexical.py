@@ -114,7 +114,12 @@ def best_of(lists: list[DataFrame], limit: int, source: str = "lexical") -> Data
     return _top(union.groupBy("query_id", "chunk_id").agg(F.min("score").alias("score")), source, limit)
 
 
-def search(df: DataFrame, queries: DataFrame, limit: int, books: DataFrame | None = None, **columns) -> DataFrame:
-    """Both indexes, each cut to `limit`, then the best of both. The expanded query goes to both."""
+def search(df: DataFrame, queries: DataFrame, limit: int, books: DataFrame | None = None, strict: bool = False, **columns) -> DataFrame:
+    """Both indexes, each cut to `limit`, then the best of both. The expanded query goes to both.
+
+    By default a query is reduced to its terms. With `strict`, one that a full-text grammar would refuse (signs,
+    bare operators) finds nothing in the trigram index, which takes queries as they are.
+    """
     expanded = queries.select("query_id", T.expand_query(F.col("query")).alias("query"))
-    return best_of([word_search(df, expanded, limit, books=books, **columns), trigram_search(df, expanded, limit, books=books, **columns)], limit)
+    raw = expanded.where(T.is_plain_query(F.col("query"))) if strict else expanded
+    return best_of([word_search(df, expanded, limit, books=books, **columns), trigram_search(df, raw, limit, books=books, **columns)], limit)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +118,19 @@ class Engine:
             return self.details(knn.search(self.tables["chunk_vec"], self._embedded(queries, "query"), limit, books=self._books(queries, book_id)))
         return self._fused(queries, None, limit, book_id)
 
+    def search_one(self, question: str, limit: int | None = None, mode: Mode | str = Mode.HYBRID, book_id: int | None = None) -> list[Row]:
+        """Results of one question in their order; nothing from any source is an error, as an empty index is."""
+        asked = self.spark.createDataFrame([(1, question)], "query_id long, query string")
+        rows = self.search(asked, limit, mode, book_id).orderBy("rank").collect()  # at most `limit` rows
+        if not rows:
+            raise NoResultsError(f"nothing found by {Mode(mode).value}")
+        return rows
+
+    def capture(self, queries: DataFrame, limit: int = 5) -> DataFrame:
+        """Results of each query by lexical and by hybrid search, with a column `mode`, for evaluation."""
+        fts = self.search(queries, limit, Mode.FTS).withColumn("mode", F.lit("fts"))
+        return fts.unionByName(self.search(queries, limit, Mode.HYBRID).withColumn("mode", F.lit("hybrid")), allowMissingColumns=True)
+
     def search_hyde(self, queries: DataFrame, limit: int | None = None, book_id: int | None = None) -> DataFrame:
         """Hybrid search with the vectors of a hypothesis as a third list. `queries`: (query_id, query, hypothesis);
         an empty hypothesis adds nothing."""
@@ -156,6 +170,7 @@ class Engine:
 
     def ask(self, question: str, model: LanguageModel, limit: int = 5, book_id: int | None = None, expand: bool = False, hyde: bool = False) -> dict:
         """Answer and sources of one question; without any result the model isn't asked."""
+        began = time.perf_counter()
         queries = self.spark.createDataFrame([(1, question)], "query_id long, query string")
         if hyde:
             guess = model(context.HYDE_PROMPT, question)
@@ -163,9 +178,12 @@ class Engine:
         else:
             results = self.search(queries, limit, Mode.HYBRID, book_id)
         row = self.build_context(queries, results, expand).first()
+        found = time.perf_counter()
         if row is None:
-            return {"answer": "", "sources": ""}
-        return {"answer": answer(model, row["system"], row["user"]), "sources": row["sources"]}
+            return {"answer": "", "sources": "", "retrieval_ms": int((found - began) * 1000), "generation_ms": 0, "total_ms": int((found - began) * 1000)}
+        said = answer(model, row["system"], row["user"])
+        done = time.perf_counter()
+        return {"answer": said, "sources": row["sources"], "retrieval_ms": int((found - began) * 1000), "generation_ms": int((done - found) * 1000), "total_ms": int((done - began) * 1000)}
 
     # upkeep
 

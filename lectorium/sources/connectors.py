@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import subprocess
 import time
 import urllib.request
 import zlib
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectorium.schema import OCR_RETRY_CHARS
+
 #: texts to vectors; called on executors with at most a batch of texts.
 Embedder = Callable[[Sequence[str]], list[list[float]]]
 #: (system, user) to answer; called on the driver.
@@ -98,6 +101,65 @@ def embed(df: DataFrame, embedder: Embedder, id_column: str = "chunk_id", text_c
     return rows.mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_column)
 
 
+class CommandModel:
+    """Language model as a command: the prompt goes to its standard input, the answer comes from its output."""
+
+    def __init__(self, command: Sequence[str], timeout_s: float = 60):
+        self.command, self.timeout_s = list(command), timeout_s
+
+    def __call__(self, system: str, user: str) -> str:
+        done = subprocess.run(self.command, input=f"{system}\n\n{user}", capture_output=True, text=True, timeout=self.timeout_s, check=True)
+        return done.stdout.strip()
+
+
+OCR_STATS = ("ocr_pages", "ocr_retries", "ocr_fast_pages", "ocr_retry_pages", "ocr_ms", "ocr_fast_ms", "ocr_retry_ms")
+
+
+def read_scans(pages: DataFrame, fast: Ocr | None, accurate: Ocr | None, policy: str = "auto", retry_chars: int = OCR_RETRY_CHARS) -> DataFrame:
+    """Pages (.., text, image) with OCR where the text is blank, and the counters of OCR_STATS.
+
+    `auto` reads fast and again accurately where that gives few characters, keeping the longer text;
+    `accurate-only` reads once; `never`, or no reader, reads nothing. A reader that fails gives no lines.
+    """
+    if policy not in ("auto", "accurate-only", "never"):
+        raise ValueError(f"unknown OCR policy: {policy}")
+    solid = re.compile(r"\s+")
+
+    def read(reader: Ocr | None, image: bytes) -> tuple[str, int]:
+        began = time.perf_counter()
+        try:
+            text = "\n".join(reader(image)) if reader else ""
+        except Exception:  # noqa: BLE001 - a page that can't be read stays blank
+            text = ""
+        return text, int((time.perf_counter() - began) * 1000)
+
+    def one(text: str | None, image: bytes | None) -> tuple:
+        stats = dict.fromkeys(OCR_STATS, 0)
+        text = text or ""
+        first = accurate if policy == "accurate-only" else fast
+        if text.strip() or policy == "never" or first is None or image is None:
+            return (text, *stats.values())
+        text, ms = read(first, image)
+        stats |= {"ocr_pages": 1, "ocr_ms": ms}
+        if policy == "auto":
+            stats |= {"ocr_fast_pages": 1, "ocr_fast_ms": ms}
+            if len(solid.sub("", text)) < retry_chars:
+                again, more = read(accurate, image)
+                stats |= {"ocr_retries": 1, "ocr_retry_pages": 1, "ocr_retry_ms": more, "ocr_ms": ms + more}
+                text = again if len(solid.sub("", again)) > len(solid.sub("", text)) else text
+        return (text, *stats.values())
+
+    keys = [c for c in pages.columns if c not in ("text", "image")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [one(t if isinstance(t, str) else None, i) for t, i in zip(batch["text"], batch["image"])]
+            yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["text", *OCR_STATS])], axis=1)
+
+    kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+    return pages.mapInPandas(run, f"{kinds}, text string, " + ", ".join(f"{s} bigint" for s in OCR_STATS))
+
+
 def answer(model: LanguageModel, system: str, user: str) -> str:
     """The model's answer; an empty one is an error."""
     text = model(system, user)

@@ -59,6 +59,13 @@ def results_text(details: DataFrame) -> DataFrame:
     return details.select("query_id", "rank", line.alias("line"))
 
 
+def chunk_text(chunk: DataFrame) -> DataFrame:
+    """(chunk_id, line): a chunk as text, its body cut to 500 bytes."""
+    pages = F.when(F.col("page_start").isNotNull() & F.col("page_end").isNotNull(), F.format_string("pages %d-%d", "page_start", "page_end"))
+    head = F.concat_ws(", ", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")), F.when(F.col("heading") != "", F.col("heading")), pages, F.format_string("%d characters", "char_count"))
+    return chunk.select("chunk_id", F.concat(head, F.lit("\n"), clipped(F.col("body"), 500)).alias("line"))
+
+
 def books_text(book: DataFrame) -> DataFrame:
     """(book_id, line): the list of books, titles above 50 bytes cut to 47."""
     title = F.when(F.octet_length("title") > 50, F.concat(cut_bytes(F.col("title"), 47), F.lit("..."))).otherwise(F.col("title"))

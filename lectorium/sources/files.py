@@ -37,6 +37,13 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("source_path"), detect_format(F.col("path")).alias("book_format"), "content")
 
 
+def folder_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, files, bytes) of each folder directly below `path`, with all that is in it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + path.rstrip("/") + "/", "")
+    return files.groupBy(F.regexp_extract(inside, "^([^/]*)/", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 

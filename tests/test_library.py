@@ -219,6 +219,10 @@ def test_ingest_search_ask_delete(spark, tmp_path):
         assert "lantern" in best["body"]
     with pytest.raises(ValueError, match="unknown search mode"):
         engine.search(asked, 2, "keyword")
+    assert len(engine.search_one("lantern harbour", 2)) == 2
+    with pytest.raises(LookupError):
+        Engine(spark, empty_library(spark)).search_one("lantern")
+    assert {r["mode"] for r in engine.capture(asked, 2).collect()} == {"fts", "hybrid"}
     heard = {}
 
     def model(system, user):
@@ -226,7 +230,7 @@ def test_ingest_search_ask_delete(spark, tmp_path):
         return "It is there."
 
     said = engine.ask("lantern harbour", model, expand=True)
-    assert said["answer"] == "It is there." and said["sources"].startswith("Sources:\n[1] Quiet Harbour, Part") and heard["user"].endswith("Question: lantern harbour")
+    assert said["answer"] == "It is there." and said["total_ms"] >= said["retrieval_ms"] and said["sources"].startswith("Sources:\n[1] Quiet Harbour, Part") and heard["user"].endswith("Question: lantern harbour")
     assert engine.rebuild_binary() == 2
     engine.rebuild_lexical(str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index" / "word_postings")).where("term = 'lantern'").count() == 1
@@ -274,3 +278,48 @@ def test_stream(spark, tmp_path):
     unique = stream.deduplicated(stream.read_documents(spark, str(tmp_path / "in"), kind)).writeStream.format("memory").queryName("u").trigger(availableNow=True).start()
     unique.awaitTermination(120)
     assert spark.table("u").where("text is not null").count() == 1
+
+
+def test_read_scans(spark):
+    df = spark.createDataFrame([(1, "text", b"i"), (2, " ", b"ab"), (3, None, b"x" * 70), (4, "", None)], "page_num int, text string, image binary")
+
+    def fast(image):
+        return [image.decode()]
+
+    def accurate(image):
+        return [image.decode() * 3]
+
+    got = {r["page_num"]: r for r in connectors.read_scans(df, fast, accurate).collect()}
+    assert [got[i]["text"] for i in (1, 2, 3, 4)] == ["text", "ababab", "x" * 70, ""]
+    assert (got[2]["ocr_retries"], got[3]["ocr_retries"], got[3]["ocr_fast_pages"], got[1]["ocr_pages"]) == (1, 0, 1, 0)
+    once = {r["page_num"]: r["text"] for r in connectors.read_scans(df, fast, accurate, "accurate-only").collect()}
+    assert once[2] == "ababab" and once[3] == "x" * 210
+    assert {r["text"] for r in connectors.read_scans(df, fast, accurate, "never").collect()} == {"text", " ", ""}
+    with pytest.raises(ValueError):
+        connectors.read_scans(df, fast, accurate, "maybe")
+
+
+def test_command_model_and_folders(spark, tmp_path):
+    assert connectors.CommandModel(["cat"])("sys", "user") == "sys\n\nuser"
+    for name, size in (("a/x", 3), ("a/b/y", 4), ("c/z", 5)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" * size)
+    assert {r["folder"]: (r["files"], r["bytes"]) for r in files.folder_sizes(spark, str(tmp_path)).collect()} == {"a": (2, 7), "c": (1, 5)}
+
+
+def test_sql_functions(spark):
+    from lectorium.functions.python_udfs import register
+
+    register(spark)
+    text = "\n\n".join("漢字。" * n for n in (3, 9, 2, 30))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, text string")
+    df.createOrReplaceTempView("texts_of_test")
+    sql = sorted(tuple(r) for r in spark.sql("select t.i, c.chunk_order, c.body, c.char_count from texts_of_test t, lateral chunk_text(t.text, 20, 5) c").collect())
+    native = sorted((r["i"], r["chunk_order"], r["body"], r["char_count"]) for r in chunking.chunk_texts(df, "text", 20, 5).collect())
+    assert sql == native and sql
+    assert spark.sql("select nfkc('ｆ'), normalize_title(' Ａ ')").first()[:] == ("f", "a")
+
+
+def test_first_titles(spark):
+    rows = spark.createDataFrame([(1, r, t) for r, t in enumerate(["b", "a", "b", "c", "d", "e"], 1)], "query_id long, rank int, book_title string")
+    assert evaluate.first_titles(rows).first()["titles"] == ["b", "a", "c", "d"]

@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lectorium.functions import terms as T
 from lectorium.functions import vectors as V
 from lectorium.operators import context, fusion, knn, lexical
 
@@ -163,3 +164,12 @@ def test_prompt(spark):
     assert user.endswith("[3]  | Pages: 3-3\nother\n---\n\nQuestion: why?")
     small = context.prompts(found, asked_, 50, 0).first()["user"]
     assert small.count("\n---\n") == 2 and "[2]" not in small  # the first entry stays though it passes the budget
+
+
+def test_strict_grammar(spark):
+    queries = asked(spark, "harbour?", "harbour NOT orchard", "harbour")
+    loose = {r["query_id"] for r in lexical.search(docs(spark), queries, 5).collect()}
+    strict = lexical.search(docs(spark), queries, 5, strict=True)
+    assert loose == {1, 2, 3} and {r["query_id"] for r in strict.collect()} == {1, 2, 3}  # the word index still answers
+    plain = queries.select("query_id", T.is_plain_query(F.col("query")).alias("p")).collect()
+    assert [r["p"] for r in plain] == [False, False, True]
