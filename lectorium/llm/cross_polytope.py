@@ -20,6 +20,8 @@ from lectorium.llm.common import bound_batches, checkpointed
 
 #: Vectors of one side in one comparison; larger buckets are compared block by block.
 BLOCK = 2_000
+#: Queries, and rows, of a pair of blocks in a search.
+QUERY_BLOCK = 20_000
 
 
 @dataclass
@@ -205,54 +207,98 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def nearest(df: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 10, tables: int = 8, probes: int = 12, dimension: int | None = None) -> DataFrame:
+def _bucket_candidates(probe: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, rows) that meet in each bucket of one table: probes (queries, probes) against home buckets (rows)."""
+    row_order = np.argsort(home, kind="stable")
+    codes, starts = np.unique(home[row_order], return_index=True)
+    ends = np.append(starts[1:], len(home))
+    flat = probe.ravel()
+    asked_order = np.argsort(flat, kind="stable")
+    asked = flat[asked_order]
+    owner = asked_order // probe.shape[1]
+    low, high = np.searchsorted(asked, codes, "left"), np.searchsorted(asked, codes, "right")
+    for i in range(len(codes)):
+        if high[i] > low[i]:
+            yield owner[low[i] : high[i]], row_order[starts[i] : ends[i]]
+
+
+class _Best:
+    """The k best rows of each query so far: larger similarity, then smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.floor = np.full(queries, -2.0, np.float32)
+        self.kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        self.new: list[tuple[np.ndarray, ...]] = []
+
+    def offer(self, query: np.ndarray, row: np.ndarray, similarity: np.ndarray) -> None:
+        self.new.append((query, row, similarity))
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """Takes in what was offered; a row offered by several tables counts once."""
+        if self.new:
+            query, row, sim = (np.concatenate(c) for c in zip(self.kept, *self.new))
+            self.new = []
+            order = np.lexsort((row, -sim, query))
+            query, row, sim = query[order], row[order], sim[order]
+            fresh = np.ones(len(query), bool)
+            fresh[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])  # equal pairs have equal similarity, so they are neighbours
+            query, row, sim = query[fresh], row[fresh], sim[fresh]
+            place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+            keep = place < self.k
+            self.kept = query[keep], row[keep], sim[keep]
+            last = place == self.k - 1
+            self.floor[query[last]] = sim[last]
+        return self.kept
+
+
+def nearest(df: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 10, tables: int = 8, probes: int = 10, axes: int = 1, dimension: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): about the k most similar vectors of each query, itself left out.
 
-    `queries` is a DataFrame of ids. One axis a table: with vectors as unlike each other as here, neighbours lie
-    at wide angles and only wide buckets hold them. The queries' vectors and probes go in blocks of BLOCK to the
-    rows; each task keeps the k best of its rows for each query of the block, and those are merged. Ties go to the smaller
-    id. Vectors that can't be used neither ask nor are found.
+    `queries` is a DataFrame of ids. Queries meet all rows in blocks of QUERY_BLOCK each; within a pair of blocks
+    the tables' buckets collect the candidates, which are ranked by their exact similarity, and only the k best
+    of a query leave the task. One axis a table is for vectors as unlike each other as most embeddings are: their neighbours lie
+    at wide angles and only wide buckets hold them. Ties go to the smaller id. Vectors that can't be used neither ask nor
+    are found.
     """
     dimension = dimension or usual_dimension(df, vector_column)
     kind = df.schema[id_column].dataType.simpleString()
     if dimension is None:
         empty = df.select(F.col(id_column).alias("query_id"), F.col(id_column).alias("neighbour_id")).limit(0)
         return empty.select("*", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    vectors = usable(df, id_column, vector_column, dimension)
-    asked = vectors.join(queries.toDF("id").distinct(), "id", "left_semi")
-    hashing = Hashing(dimension, tables, 1, probes)
+    vectors = checkpointed(usable(df, id_column, vector_column, dimension))
+    asked = vectors.join(queries.toDF("id").distinct(), "id", "left_semi").toDF("asking", "question")
+    hashing = Hashing(dimension, tables, axes, probes)
     shared = df.sparkSession.sparkContext.broadcast(hashing)
     bound_batches(df.sparkSession, 4_000)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    parts = max(4, df.sparkSession.sparkContext.defaultParallelism)
-    asked = asked.toDF("asking", "question")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = max(-(-vectors.count() // QUERY_BLOCK), -(-df.sparkSession.sparkContext.defaultParallelism // blocks))
     left = asked.select("asking", "question", F.pmod(F.xxhash64("asking"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     right = vectors.select("id", "vec", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def compare(keys: tuple, ask: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list = [[], [], []]
         if ask.num_rows and rows.num_rows:
             hashing = shared.value
-            q, ids, asking = _matrix(ask.column("question"), dimension), rows.column("id").to_numpy(), ask.column("asking").to_numpy()
-            probe = [hashing.buckets(q, t) for t in range(hashing.tables)]
-            wanted = np.zeros((hashing.tables, 2 * hashing.padded, len(q)), bool)
-            for t, codes in enumerate(probe):
-                wanted[t, codes, np.arange(len(q))[:, None]] = True
-            best_id = np.full((len(q), 0), 0, ids.dtype)
-            best = np.full((len(q), 0), -2.0, np.float32)
-            home = Hashing(dimension, hashing.tables, 1, 1, hashing.seed)
-            for i in range(0, len(ids), BLOCK):
-                x = _matrix(rows.column("vec").slice(i, BLOCK), dimension)
-                candidate = np.zeros((len(q), len(x)), bool)
-                for t in range(hashing.tables):
-                    candidate |= wanted[t, home.buckets(x, t)[:, 0]].T
-                sims = np.where(candidate & (asking[:, None] != ids[None, i : i + BLOCK]), q @ x.T, -2.0).astype(np.float32)
-                sims = np.concatenate((best, sims), axis=1)
-                own = np.concatenate((best_id, np.broadcast_to(ids[i : i + BLOCK], (len(q), len(x)))), axis=1)
-                order = np.lexsort((own, -sims), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(sims, order, axis=1), np.take_along_axis(own, order, axis=1)
-            a, b = np.nonzero(best > -1.5)
-            out = [asking[a], best_id[a, b], best[a, b].astype(np.float64)]
+            nearest_only = Hashing(dimension, hashing.tables, hashing.axes, 1, hashing.seed)
+            order = np.argsort(rows.column("id").to_numpy(), kind="stable")  # so that ties of rows are ties of ids
+            ids, x = rows.column("id").to_numpy()[order], _matrix(rows.column("vec"), dimension)[order]
+            asking, q = ask.column("asking").to_numpy(), _matrix(ask.column("question"), dimension)
+            best = _Best(len(q), k)
+            for table in range(hashing.tables):
+                for mine, theirs in _bucket_candidates(hashing.buckets(q, table), nearest_only.buckets(x, table)[:, 0]):
+                    for i in range(0, len(mine), BLOCK):
+                        some = mine[i : i + BLOCK]
+                        sims = q[some] @ x[theirs].T
+                        a, b = np.nonzero(sims >= best.floor[some][:, None])
+                        other = asking[some[a]] != ids[theirs[b]]
+                        a, b = a[other], b[other]
+                        best.offer(some[a], theirs[b], np.round(sims[a, b], 6))
+                    if sum(len(n[0]) for n in best.new) > 2_000_000:
+                        best.settle()
+                best.settle()
+            query, row, sim = best.settle()
+            out = [asking[query], ids[row], sim.astype(np.float64)]
         kinds = (ask.schema.field("asking").type, rows.schema.field("id").type, pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=["query_id", "neighbour_id", "similarity"])
 
