@@ -274,8 +274,9 @@ _CHUNKS = "chunks AS (SELECT DISTINCT chunk_id, book_id, chapter_id, heading, bo
 @query(f"WITH {_PAGES} SELECT page_id, len(parts) AS paragraphs, list_sum(list_transform(parts, lambda p: length(p)))::BIGINT AS characters, sha256(array_to_string(parts, '|')) AS digest FROM (SELECT page_id, list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda p: {_strip_sql('p')}), lambda p: p <> '') AS parts FROM pages WHERE text IS NOT NULL) WHERE len(parts) > 0")
 def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of every page: number, characters, digest."""
-    pages = _once(spark, sf_dir, "page", "page_id", "text").where("text is not null").select("page_id", X.split_paragraphs(F.col("text")).alias("parts")).where(F.size("parts") > 0)
-    return pages.select("page_id", F.size("parts").cast("bigint").alias("paragraphs"), F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p)).cast("bigint").alias("characters"), F.sha2(F.array_join("parts", "|"), 256).alias("digest"))
+    pages = _t(spark, sf_dir, "page").where("text is not null").select("page_id", X.split_paragraphs(F.col("text")).alias("parts")).where(F.size("parts") > 0)
+    made = pages.select("page_id", F.size("parts").cast("bigint").alias("paragraphs"), F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p)).cast("bigint").alias("characters"), F.sha2(F.array_join("parts", "|"), 256).alias("digest"))
+    return made.distinct()  # re-delivered pages give equal rows, which are smaller than their texts
 
 
 def _joined_lines(e: str) -> str:
@@ -293,8 +294,8 @@ _CLEAN_SQL = _strip_sql(f"array_to_string(list_transform(string_split({_CLEAN_ST
 @query(f"WITH {_PAGES} SELECT page_id, length(c) AS characters, sha256(c) AS digest FROM (SELECT page_id, {_CLEAN_SQL} AS c FROM pages WHERE text IS NOT NULL)")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page cleaned: characters and digest."""
-    pages = _once(spark, sf_dir, "page", "page_id", "text").where("text is not null").select("page_id", X.clean_text(F.col("text")).alias("c"))
-    return pages.select("page_id", F.length("c").cast("bigint").alias("characters"), F.sha2("c", 256).alias("digest"))
+    pages = _t(spark, sf_dir, "page").where("text is not null").select("page_id", X.clean_text(F.col("text")).alias("c"))
+    return pages.select("page_id", F.length("c").cast("bigint").alias("characters"), F.sha2("c", 256).alias("digest")).distinct()
 
 
 _ODD = "[\\x00-\\x08\\x0e-\\x1b\\x7f-\\x{84}\\x{86}-\\x{9f}\\x{fffd}\\p{Cf}\\p{Co}]"
@@ -313,9 +314,9 @@ def _corrupt_sql(e: str) -> str:
 @query(f"WITH {_PAGES} SELECT page_id, {_SEEN} AS printable, {_ODDS} AS suspicious, round(CASE WHEN {_SEEN} > 0 THEN {_ODDS}::DOUBLE / {_SEEN} ELSE 0 END, 6) AS ratio, {_corrupt_sql('t')} AS corrupt FROM (SELECT page_id, text AS t FROM pages WHERE text IS NOT NULL)")
 def suspicious_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suspicious characters of every page, and whether it looks corrupt."""
-    pages = _once(spark, sf_dir, "page", "page_id", "text").where("text is not null")
+    pages = _t(spark, sf_dir, "page").where("text is not null")
     t = F.col("text")
-    return pages.select("page_id", X.printable_count(t).alias("printable"), X.suspicious_count(t).alias("suspicious"), F.round(X.suspicious_ratio(t), 6).alias("ratio"), X.looks_corrupt(t).alias("corrupt"))
+    return pages.select("page_id", X.printable_count(t).alias("printable"), X.suspicious_count(t).alias("suspicious"), F.round(X.suspicious_ratio(t), 6).alias("ratio"), X.looks_corrupt(t).alias("corrupt")).distinct()
 
 
 _FULL = f"({_strip_sql('text')} <> '')"
@@ -527,15 +528,15 @@ def library_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS} SELECT b.book_id, b.title AS book_title, chapter_id, chunk_id, heading, sha256(body) AS digest, char_count, chunk_order FROM book b JOIN chunks USING (book_id)")
 def export_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunk = _once(spark, sf_dir, "chunk", "chunk_id", "book_id", "chapter_id", "heading", "body", "char_count", "chunk_order")
-    return catalog.export_rows(_t(spark, sf_dir, "book"), chunk).withColumn("digest", F.sha2("body", 256)).drop("body")
+    chunk = _t(spark, sf_dir, "chunk").select("chunk_id", "book_id", "chapter_id", "heading", F.sha2("body", 256).alias("body"), "char_count", "chunk_order").distinct()
+    return catalog.export_rows(_t(spark, sf_dir, "book"), chunk).withColumnRenamed("body", "digest")
 
 
 @query()
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 300 bytes of every chunk, never part of a character."""
-    chunks = _once(spark, sf_dir, "chunk", "chunk_id", "body").where("body is not null")
-    return chunks.select("chunk_id", exchange.preview(F.col("body"), 300).alias("preview"))
+    chunks = _t(spark, sf_dir, "chunk").where("body is not null")
+    return chunks.select("chunk_id", exchange.preview(F.col("body"), 300).alias("preview")).distinct()
 
 
 _COUNTERS = ("ocr_pages", "ocr_retries", "ocr_ms", "ocr_fast_pages", "ocr_retry_pages", "ocr_fast_ms", "ocr_retry_ms")
