@@ -345,7 +345,7 @@ def sample(df: DataFrame, id_column: str, text_column: str, rows: int = SAMPLE_R
 def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, chain, restored, complete) of the rows that hold wrongly decoded text, in whole or in part.
 
-    `df` must have a row for each id. Null, empty and plain ASCII texts are never found; an empty table gives
+    A repeated row repeats its result. Null, empty and plain ASCII texts are never found; an empty table gives
     none. `restored` keeps what can't be restored as it is; `complete` says that all of it was restored.
     """
     model = train(sample(df, id_column, text_column, rows))
