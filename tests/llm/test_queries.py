@@ -1,6 +1,10 @@
+import glob
+import os
+
+import duckdb
 import pytest
 
-from lectorium.llm.queries import QUERIES
+from lectorium.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 
 COLUMNS = {
@@ -17,3 +21,12 @@ def test_query_runs(spark, name):
         assert df.columns == COLUMNS[name]
         if name != "p8_ids":
             assert len(set(map(tuple, rows))) == len(rows)
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from read_parquet('{path}')")
+    df = QUERIES[name](spark, DATA)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall())
