@@ -267,6 +267,11 @@ def _strip_sql(e: str) -> str:
     return f"regexp_replace({e}, '^{_B}+|{_B}+$', '', 'g')"
 
 
+def _cut_sql(e: str, n: int) -> str:
+    """The longest beginning of text `e` of at most `n` bytes."""
+    return f"left({e}, list_max(list_filter(range(0, {n + 1}), lambda i: strlen(left({e}, i)) <= {n})))"
+
+
 _PAGES = "pages AS (SELECT DISTINCT page_id, book_id, page_num, text FROM page)"
 _CHUNKS = "chunks AS (SELECT DISTINCT chunk_id, book_id, chapter_id, heading, body, chunk_order, page_start, page_end, prev_chunk_id, next_chunk_id, char_count FROM chunk)"
 
@@ -389,15 +394,25 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARTS_SQL = f"list_filter(list_transform(string_split_regex(text, '\\n+'), lambda p: {_strip_sql('p')}), lambda p: p <> '')"
-_PACK_STEP = """{'parts': CASE WHEN s.length > 0 AND s.length + length(x.parts) > 200 THEN x.parts ELSE CASE WHEN s.length > 0 THEN s.parts || chr(10) || chr(10) || x.parts ELSE x.parts END END,
- 'length': CASE WHEN s.length > 0 AND s.length + length(x.parts) > 200 THEN length(x.parts) ELSE s.length + length(x.parts) END,
- 'tail': CASE WHEN s.length > 0 AND s.length + length(x.parts) > 200 THEN right(CASE WHEN s.tail <> '' THEN s.tail || chr(10) || chr(10) || s.parts ELSE s.parts END, 40) ELSE s.tail END,
- 'bodies': CASE WHEN s.length > 0 AND s.length + length(x.parts) > 200 THEN list_append(s.bodies, CASE WHEN s.tail <> '' THEN s.tail || chr(10) || chr(10) || s.parts ELSE s.parts END) ELSE s.bodies END}"""
+def _pack_sql(pieces: str, size: int, overlap: int) -> str:
+    """Chunk bodies of the list `pieces`, as a fold; `n` counts the parts of the open chunk."""
+    full = f"s.n > 0 AND s.length + length(x.parts) > {size}"
+    body = "CASE WHEN s.tail <> '' THEN s.tail || chr(10) || chr(10) || s.parts ELSE s.parts END"
+    step = f"""{{'parts': CASE WHEN {full} OR s.n = 0 THEN x.parts ELSE s.parts || chr(10) || chr(10) || x.parts END, 'n': CASE WHEN {full} THEN 1 ELSE s.n + 1 END, 'length': CASE WHEN {full} THEN length(x.parts) ELSE s.length + length(x.parts) END,
+ 'tail': CASE WHEN {full} THEN right({body}, {overlap}) ELSE s.tail END, 'bodies': CASE WHEN {full} THEN list_append(s.bodies, {body}) ELSE s.bodies END}}"""
+    empty = "{'parts': '', 'n': 0::BIGINT, 'length': 0::BIGINT, 'tail': '', 'bodies': []::VARCHAR[]}"
+    items = f"list_transform({pieces}, lambda p: {{'parts': p, 'n': 0::BIGINT, 'length': 0::BIGINT, 'tail': '', 'bodies': []::VARCHAR[]}})"
+    return f"list_transform([list_reduce({items}, lambda s, x: {step}, {empty})], lambda s: CASE WHEN s.n > 0 THEN list_append(s.bodies, {body}) ELSE s.bodies END)[1]"
+
+
+def _force_sql(p: str, size: int) -> str:
+    """Parts of a long paragraph."""
+    pieces = f"list_transform(regexp_extract_all({p}, '[^。？！\n]*[。？！\n]|[^。？！\n]+$'), lambda y: {{'now': y, 'done': []::VARCHAR[]}})"
+    step = f"CASE WHEN length(a.now) + length(b.now) > {size} AND a.now <> '' THEN {{'now': b.now, 'done': list_append(a.done, {_strip_sql('a.now')})}} ELSE {{'now': a.now || b.now, 'done': a.done}} END"
+    return f"list_transform([list_reduce({pieces}, lambda a, b: {step}, {{'now': '', 'done': []::VARCHAR[]}})], lambda a: CASE WHEN {_strip_sql('a.now')} <> '' THEN list_append(a.done, {_strip_sql('a.now')}) ELSE a.done END)[1]"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_PARTS_SQL} AS pieces FROM documents WHERE text IS NOT NULL)
-, f AS (SELECT doc_id, list_reduce(list_transform(pieces, lambda p: {{'parts': p, 'length': 0::BIGINT, 'tail': '', 'bodies': []::VARCHAR[]}}), lambda s, x: {_PACK_STEP}, {{'parts': '', 'length': 0::BIGINT, 'tail': '', 'bodies': []::VARCHAR[]}}) AS s FROM d WHERE len(pieces) > 0)
-, b AS (SELECT doc_id, list_append(s.bodies, CASE WHEN s.tail <> '' THEN s.tail || chr(10) || chr(10) || s.parts ELSE s.parts END) AS bodies FROM f)
+@query(f"""WITH b AS (SELECT doc_id, {_pack_sql(_PARTS_SQL, 200, 40)} AS bodies FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, chunk_order::BIGINT AS chunk_order, length(body) AS char_count, sha256(body) AS digest FROM (SELECT doc_id, unnest(bodies) AS body, unnest(range(0, len(bodies))) AS chunk_order FROM b)""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document packed into chunks of 200 with an overlap of 40."""
@@ -407,11 +422,16 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("chunk_order").cast("bigint").alias("chunk_order"), F.length("body").cast("bigint").alias("char_count"), F.sha2("body", 256).alias("digest"))
 
 
-@query()
+@query(f"""WITH {_PAGES}
+, j AS (SELECT c.book_id, c.chapter_order, c.title, p.page_num, coalesce(p.text, '') AS text FROM chapter c JOIN pages p ON c.book_id = p.book_id AND p.page_num BETWEEN c.page_start AND c.page_end)
+, w AS (SELECT book_id, chapter_order, min(page_num) AS page_start, max(page_num) AS page_end, string_agg(text, chr(10) || chr(10) ORDER BY page_num, text) AS whole FROM j GROUP BY book_id, chapter_order, title)
+, q AS (SELECT *, flatten(list_transform(list_filter(list_transform(string_split_regex(whole, '\\n{{2,}}'), lambda p: {_strip_sql('p')}), lambda p: p <> ''), lambda p: CASE WHEN length(p) > 1000 THEN {_force_sql('p', 500)} ELSE [p] END)) AS pieces FROM w)
+, b AS (SELECT *, {_pack_sql('pieces', 500, 100)} AS bodies FROM q)
+SELECT book_id, chapter_order, chunk_order::BIGINT AS chunk_order, page_start, page_end, length(body) AS char_count, sha256(body) AS digest FROM (SELECT *, unnest(bodies) AS body, unnest(range(0, len(bodies))) AS chunk_order FROM b)""")
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every book cut into chunks by its chapters, with forced splits of long paragraphs."""
     made = chunking.chunk_pages(_once(spark, sf_dir, "page", "page_id", "book_id", "page_num", "text"), _t(spark, sf_dir, "chapter"))
-    return made.select("book_id", "chapter_order", "chunk_order", "page_start", "page_end", "char_count", F.sha2("body", 256).alias("digest"))
+    return made.select("book_id", "chapter_order", F.col("chunk_order").cast("bigint").alias("chunk_order"), "page_start", "page_end", F.col("char_count").cast("bigint").alias("char_count"), F.sha2("body", 256).alias("digest"))
 
 
 # --- context --------------------------------------------------------------------------------------------------
@@ -460,7 +480,18 @@ def format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.sources(details).select("query_id", F.col("rank").cast("bigint").alias("rank"), "source_line")
 
 
-@query()
+_WIDE = "concat_ws(chr(10) || chr(10), prev_body, body, next_body)"
+_LONG_ENTRY = f"""'[' || rank || '] ' || coalesce('Book: ' || book_title, '') || coalesce(' | Chapter: ' || chapter_title, '') || CASE WHEN page_start IS NOT NULL AND page_end IS NOT NULL THEN ' | Pages: ' || page_start || '-' || page_end ELSE '' END || chr(10) || CASE WHEN strlen(wide) > 1200 THEN {_cut_sql('wide', 1200)} || '...' ELSE coalesce(wide, '') END || chr(10) || '---' || chr(10)"""
+
+
+@query(f"""WITH {_DETAILS}
+, sides AS (SELECT query_id, rank, chapter_id, 0 AS side, prev_chunk_id AS n FROM details UNION ALL SELECT query_id, rank, chapter_id, 1, next_chunk_id FROM details)
+, free AS (SELECT s.*, k.body AS found FROM sides s JOIN chunks k ON k.chunk_id = s.n AND k.chapter_id = s.chapter_id WHERE NOT EXISTS (SELECT 1 FROM details d WHERE d.query_id = s.query_id AND d.chunk_id = s.n))
+, claimed AS (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY rank, side) AS claim FROM free)
+, near AS (SELECT query_id, rank, max(CASE WHEN side = 0 THEN found END) AS prev_body, max(CASE WHEN side = 1 THEN found END) AS next_body FROM claimed WHERE claim = 1 GROUP BY ALL)
+, w AS (SELECT *, {_WIDE} AS wide FROM details LEFT JOIN near USING (query_id, rank)), e AS (SELECT query_id, rank, {_LONG_ENTRY} AS entry FROM w)
+, b AS (SELECT *, sum(strlen(entry)) OVER (PARTITION BY query_id ORDER BY rank) AS running, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS first FROM e)
+SELECT query_id, '{context.SYSTEM_PROMPT.replace("'", "''")}' AS system, 'Excerpts:' || chr(10) || '---' || chr(10) || string_agg(entry, '' ORDER BY rank) || chr(10) || 'Question: question ' || query_id AS user FROM b WHERE first = 1 OR running <= 3000 GROUP BY query_id""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole prompts with neighbouring chunks, for every query of search_result."""
     details, chunk = _details(spark, sf_dir, 10)
@@ -532,7 +563,7 @@ def export_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.export_rows(_t(spark, sf_dir, "book"), chunk).withColumnRenamed("body", "digest")
 
 
-@query()
+@query(f"SELECT DISTINCT chunk_id, {_cut_sql('body', 300)} AS preview FROM chunk WHERE body IS NOT NULL")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 300 bytes of every chunk, never part of a character."""
     chunks = _t(spark, sf_dir, "chunk").where("body is not null")
@@ -663,7 +694,11 @@ def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.lit("word").alias("index_name"), F.count("*").alias("terms"), F.sum("c").alias("postings"))
 
 
-@query()
+def _trigrams_sql(e: str) -> str:
+    return f"list_transform(range(1, greatest(length({e}) - 1, 1)), lambda i: substr(lower({e}), i, 3))"
+
+
+@query(f"WITH {_CHUNKS}, t AS (SELECT DISTINCT chunk_id, unnest(list_concat({_trigrams_sql("coalesce(heading, '')")}, {_trigrams_sql("coalesce(body, '')")})) AS term FROM chunks) SELECT 'trigram' AS index_name, count(*) AS terms, sum(c)::BIGINT AS postings FROM (SELECT term, count(*) AS c FROM t GROUP BY term)")
 def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the trigram index over all chunks."""
     chunks = _once(spark, sf_dir, "chunk", "chunk_id", "heading", "body")
