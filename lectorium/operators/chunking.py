@@ -103,7 +103,8 @@ def pack(pieces: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -
 def chunk_texts(df: DataFrame, text_column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Each row with its text's chunks: adds chunk_order, body, char_count. Rows without a paragraph give none."""
     bodies = df.withColumn("_bodies", pack(parts(F.col(text_column), size), size, overlap)).drop(text_column)
-    out = bodies.select("*", F.posexplode("_bodies").alias("chunk_order", "body")).drop("_bodies")
+    # outer, as else a filter on the array's size would be inferred and pushed down, packing everything twice
+    out = bodies.select("*", F.posexplode_outer("_bodies").alias("chunk_order", "body")).drop("_bodies").where("body is not null")
     return out.withColumn("char_count", F.length("body"))
 
 

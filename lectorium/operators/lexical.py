@@ -18,18 +18,24 @@ def _both(df: DataFrame, heading: str | None, body: str, of) -> Column:
     return F.concat(of(F.coalesce(F.col(heading), F.lit(""))), text) if heading else text
 
 
+def _each_term(rows: DataFrame) -> DataFrame:
+    """A row for each term. An outer explode, as for others a filter on the array's size is inferred and pushed down,
+    which would work out the terms twice."""
+    return rows.select("chunk_id", "length", F.explode_outer("terms").alias("term")).where("term is not null")
+
+
 def word_postings(df: DataFrame, id_column: str = "chunk_id", heading: str | None = "heading", body: str = "body") -> DataFrame:
     """(term, chunk_id, tf, length): the word index. Partial counts are made before the shuffle."""
     rows = df.select(F.col(id_column).alias("chunk_id"), _both(df, heading, body, T.words).alias("terms"))
     rows = rows.withColumn("length", F.size("terms").cast("bigint"))
-    return rows.select("chunk_id", "length", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "length")
+    return _each_term(rows).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "length")
 
 
 def trigram_postings(df: DataFrame, id_column: str = "chunk_id", heading: str | None = "heading", body: str = "body") -> DataFrame:
     """(term, chunk_id, tf, length): the trigram index."""
     rows = df.select(F.col(id_column).alias("chunk_id"), _both(df, heading, body, T.trigrams).alias("terms"))
     rows = rows.withColumn("length", F.size("terms").cast("bigint"))
-    return rows.select("chunk_id", "length", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "length")
+    return _each_term(rows).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "length")
 
 
 def _top(scored: DataFrame, source: str, limit: int) -> DataFrame:
@@ -59,7 +65,7 @@ def word_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str =
     rows = df.select(F.col(id_column).alias("chunk_id"), _both(df, heading, body, T.words).alias("terms"))
     rows = rows.withColumn("length", F.size("terms").cast("bigint"))
     corpus = rows.agg(F.count("*").alias("rows"), F.avg("length").alias("mean"))
-    found = rows.select("chunk_id", "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = _each_term(rows).join(asked.select("term").distinct(), "term", "left_semi")
     postings = found.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
     return search_postings(postings, corpus, asked, limit, books, "word")
 
