@@ -112,7 +112,8 @@ def sentences(df: DataFrame, id_column: str = "chunk_id", text_column: str = "bo
     columns of `df` are ignored.
     """
     ends = df.select(F.col(id_column), F.col(text_column).cast("string").alias("_text")).withColumn("_ends", sentence_ends(F.col("_text")))
-    spans = ends.select(id_column, "_text", F.posexplode("_ends").alias("sentence_no", "sentence_end"), "_ends")
+    # outer, as else a filter on the array's size would be inferred and pushed below joins, matching everything twice
+    spans = ends.select(id_column, "_text", F.posexplode_outer("_ends").alias("sentence_no", "sentence_end"), "_ends").where("sentence_end is not null")
     before = F.when(F.col("sentence_no") == 0, F.lit(0)).otherwise(F.element_at("_ends", F.when(F.col("sentence_no") > 0, F.col("sentence_no")).otherwise(F.lit(1))))
     piece = F.expr("substring(_text, _before + 1, sentence_end - _before)")
     trimmed = F.regexp_replace(piece, f"^{SPACE}+", "")
