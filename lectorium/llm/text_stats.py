@@ -46,7 +46,15 @@ _STOPS = re.compile(r"[.!?…。！？।؟;:]")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿가-힣ｦ-ﾟ]")
 _THAI = re.compile("[฀-๿]")
 _ODD = re.compile(r"[!-/:-@\[-`{-~─-◿§<>|]")
-_ENDED = re.compile(r"""[.!?…。！？।؟;:][\s"'”’»›)\]」』）]*$""")
+_DIGIT = re.compile("[0-9]")
+_AFTER_STOP = " \t\r\v\f\"'”’»›)]」』\u00a0\u3000"
+_STOP_CHARS = frozenset(".!?…。！？।؟;:")
+
+
+def _ends(tail: str) -> bool:
+    """Whether a line ends in punctuation, closing quotes and brackets aside."""
+    return tail.rstrip(_AFTER_STOP)[-1:] in _STOP_CHARS and bool(tail.rstrip(_AFTER_STOP))
+
 
 # places in a line's vector
 CHARS, SOLID, WORDS, WORD_CHARS, COMMONS, STOPS, ODD, DIGITS, UNSPACED, THAI, CELLS, COMMAS, PAIRS, NAMES = range(14)
@@ -63,7 +71,7 @@ def line_vector(s: str, lower: str) -> list[int]:
     plain = s.isascii()
     return [
         len(s), len(s) - s.count(" ") - s.count("\t"), len(words), sum(map(len, words)), len(known), len(_STOPS.findall(s)), len(_ODD.findall(s)),
-        sum(map(s.count, "0123456789")), 0 if plain else len(_UNSPACED.findall(s)), 0 if plain else len(_THAI.findall(s)), len(_CELL.findall(s)),
+        len(_DIGIT.findall(s)), 0 if plain else len(_UNSPACED.findall(s)), 0 if plain else len(_THAI.findall(s)), len(_CELL.findall(s)),
         s.count(", ") + s.count("、") + s.count("،"), len(_PAIR.findall(s)), sum(w in IN_NAMES for w in known),
     ]
 
@@ -128,9 +136,12 @@ def line_kind(line: Line) -> int:
     if not solid or not head.strip() and not tail.strip() and not words and not v[ODD]:
         return BLANK
     tail = tail.rstrip()
-    ended = _ENDED.search(tail) is not None
+    ended = _ends(tail)
     spaced = v[UNSPACED] * 3 < solid and v[THAI] * 3 < solid
     size = words if spaced else solid / (3 if v[THAI] * 3 < solid else 6)
+    # running text, of which none of what follows holds
+    if words > 8 and v[COMMONS] - v[NAMES] > 0.25 * words and not v[CELLS] and not v[PAIRS] and v[ODD] + v[DIGITS] < 0.12 * solid:
+        return PROSE
     # rubbish: mostly signs and digits, or unbroken runs of letters and digits
     if v[ODD] + v[DIGITS] > 0.5 * solid:
         return STRUCTURED
@@ -140,7 +151,7 @@ def line_kind(line: Line) -> int:
         return STRUCTURED
     if v[CHARS] == solid >= 20 and head.isascii() and v[DIGITS] and not ended and "://" not in head and head.lower() != head:
         return STRUCTURED
-    if _LEADER.search(head) or _LEADER.search(tail):
+    if (v[ODD] > 3 or "…" in head or "…" in tail or "·" in head) and (_LEADER.search(head) or _LEADER.search(tail)):
         return STRUCTURED
     if _LOG.match(head) and (v[PAIRS] or v[DIGITS] > 0.15 * solid):
         return STRUCTURED
@@ -185,7 +196,7 @@ def add_line(totals: list[int], line: Line) -> None:
     totals[KIND_LINES + kind] += 1
     if kind != BLANK:
         totals[LINES] += 1
-        totals[ENDED] += _ENDED.search(line[2].rstrip()) is not None
+        totals[ENDED] += _ends(line[2])
     if kind in (SHORT_ITEM, SHORT_PLAIN) or kind == PROSE and v[SOLID] < 40:
         totals[SHORT_STOPS] += v[STOPS]
         totals[SHORT_WORDS] += v[WORDS]
