@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectorium.schema import COMPARISON_BOOKS, RRF_K
@@ -25,11 +25,12 @@ def reciprocal_rank(lists: list[DataFrame] | DataFrame, limit: int, k: int = RRF
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", F.lit(source).alias("source"), "chunk_id", "rank", "score")
 
 
-def diversify(results: DataFrame, limit: int) -> DataFrame:
+def diversify(results: DataFrame, limit: int, spread: Column | None = None) -> DataFrame:
     """Results taken from the books in turn, books in the order of their first result.
 
     `results` has query_id, book_id and rank. A query of fewer than two books keeps its order; one of a single
-    result keeps it whatever the limit. Null books are one book.
+    result keeps it whatever the limit. Null books are one book. Where `spread` is given and false, a query's
+    results keep their order and are only cut.
     """
     book = F.coalesce(F.col("book_id"), F.lit(0))
     own = Window.partitionBy("query_id", "_book")
@@ -37,6 +38,7 @@ def diversify(results: DataFrame, limit: int) -> DataFrame:
     placed = results.withColumn("_book", book).withColumn("_turn", F.row_number().over(own.orderBy("rank"))).withColumn("_first", F.min("rank").over(own))
     placed = placed.withColumn("_books", F.size(F.collect_set("_book").over(every))).withColumn("_n", F.count("*").over(every))
     several = F.col("_books") >= COMPARISON_BOOKS
+    several = several if spread is None else several & spread
     order = Window.partitionBy("query_id").orderBy(F.when(several, F.col("_turn")).otherwise(F.lit(0)), F.when(several, F.col("_first")).otherwise(F.col("rank")), "rank")
     final = placed.withColumn("_place", F.row_number().over(order)).where((F.col("_place") <= limit) | (F.col("_n") <= 1))
     return final.withColumn("rank", F.col("_place")).drop("_book", "_turn", "_first", "_books", "_n", "_place")

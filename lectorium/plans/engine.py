@@ -144,8 +144,7 @@ class Engine:
         spread = F.lit(book_id is None or book_id <= 0) & terms.is_comparison(F.col("query"))
         asked = queries.select("query_id", spread.alias("spread"))
         pool = self.details(fusion.reciprocal_rank(lists, limit * S.COMPARISON_POOL)).join(asked, "query_id")
-        plain = pool.where(f"not spread and rank <= {limit}").drop("spread")
-        return plain.unionByName(fusion.diversify(pool.where("spread").drop("spread"), limit).select(*plain.columns))
+        return fusion.diversify(pool, limit, F.col("spread")).drop("spread")
 
     def details(self, ranked: DataFrame) -> DataFrame:
         return context.with_details(ranked, self.tables["chunk"], self.tables["book"], self.tables["chapter"])
