@@ -12,6 +12,10 @@ from lectorium.functions import terms as T
 from lectorium.schema import BM25_B, BM25_K1, BM25_LEAST_IDF
 
 
+#: Distinct terms of all questions that may stand in the plan itself.
+LITERAL_TERMS = 1_000
+
+
 def _both(df: DataFrame, heading: str | None, body: str, of) -> Column:
     """Terms of heading and body, each by itself."""
     text = of(F.coalesce(F.col(body), F.lit("")))
@@ -65,7 +69,12 @@ def word_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str =
     rows = df.select(F.col(id_column).alias("chunk_id"), _both(df, heading, body, T.words).alias("terms"))
     rows = rows.withColumn("length", F.size("terms").cast("bigint"))
     corpus = rows.agg(F.count("*").alias("rows"), F.avg("length").alias("mean"))
-    found = _each_term(rows).join(asked.select("term").distinct(), "term", "left_semi")
+    # up to LITERAL_TERMS asked terms are sought within the arrays; more are joined
+    literal = [r["term"] for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    if len(literal) <= LITERAL_TERMS:
+        found = _each_term(rows.withColumn("terms", F.filter("terms", lambda t: t.isin(literal))))
+    else:
+        found = _each_term(rows).join(asked.select("term").distinct(), "term", "left_semi")
     postings = found.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
     return search_postings(postings, corpus, asked, limit, books, "word")
 
