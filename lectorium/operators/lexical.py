@@ -5,7 +5,9 @@ Scores are negative, lower is better. All functions take many queries at once: (
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectorium.functions import terms as T
@@ -97,18 +99,19 @@ def corpus_statistics(postings: DataFrame, documents: DataFrame, id_column: str
     return rows.crossJoin(F.broadcast(total)).select("rows", (F.coalesce("total", F.lit(0)) / F.col("rows")).alias("mean"))
 
 
-def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str = "chunk_id", heading: str | None = "heading", body: str = "body", books: DataFrame | None = None) -> DataFrame:
+def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str = "chunk_id", heading: str | None = "heading", body: str = "body", books: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Best chunks by BM25 over substrings of three characters or more, all of which must match.
 
     Queries without such a term find nothing. The queries go to the texts (they are few against the texts; a set
-    too large to broadcast is best searched in blocks), and a chunk is scored only if it holds all terms.
+    too large to broadcast is best searched in blocks), and a chunk is scored only if it holds all terms. With
+    `corpus` (rows, mean), `df` may be cut to chunks among which all matches are.
     """
     asked = queries.select("query_id", T.trigram_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
     head = F.lower(F.coalesce(F.col(heading), F.lit(""))) if heading else F.lit("")
     rows = df.select(F.col(id_column).alias("chunk_id"), head.alias("head"), F.lower(F.coalesce(F.col(body), F.lit(""))).alias("text"))
     size = F.greatest(F.length("head") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))
     rows = rows.withColumn("length", size.cast("bigint"))
-    corpus = rows.agg(F.count("*").alias("rows"), F.avg("length").alias("mean"))
+    corpus = rows.agg(F.count("*").alias("rows"), F.avg("length").alias("mean")) if corpus is None else corpus
     every = asked.select(F.explode("terms").alias("term")).distinct()
     holds = F.col("head").contains(F.col("term")) | F.col("text").contains(F.col("term"))
     hits = rows.join(F.broadcast(every), holds)
@@ -121,6 +124,52 @@ def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str
     return _top(_kept_books(full, books), "trigram", limit)
 
 
+def trigram_candidates(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(chunk_id) of all chunks that hold every trigram of some query term: a superset of what matches."""
+    terms = queries.select(F.explode(T.trigram_terms(F.col("query"))).alias("phrase")).distinct()
+    needed = terms.select("phrase", F.explode(F.array_distinct(T.trigrams(F.col("phrase")))).alias("term"))
+    needed = needed.join(needed.groupBy("phrase").agg(F.count("*").alias("parts")), "phrase")
+    held = postings.select("term", "chunk_id").join(F.broadcast(needed), "term").groupBy("phrase", "parts", "chunk_id").agg(F.count("*").alias("found"))
+    return held.where("found = parts").select("chunk_id").distinct()
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings of both indexes, and their statistics (index_name, rows, mean)."""
+
+    words: DataFrame
+    trigrams: DataFrame
+    statistics: DataFrame
+
+    @classmethod
+    def write(cls, df: DataFrame, path: str) -> None:
+        """Builds the index below `path`, postings sorted by term, so that a search reads few row groups."""
+        for name, made in (("words", word_postings(df)), ("trigrams", trigram_postings(df))):
+            made.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/{name}")
+        stored = [corpus_statistics(df.sparkSession.read.parquet(f"{path}/{name}"), df).select(F.lit(name).alias("index_name"), "rows", "mean") for name in ("words", "trigrams")]
+        stored[0].unionByName(stored[1]).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("words", "trigrams", "statistics")))
+
+    def search(self, df: DataFrame, queries: DataFrame, limit: int, books: DataFrame | None = None) -> DataFrame:
+        """As `search`, from the stored postings; only candidates of the trigram index are read from `df`."""
+        expanded = queries.select("query_id", T.expand_query(F.col("query")).alias("query"))
+        asked = expanded.select("query_id", F.explode(T.query_segments(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        literal = [r["term"] for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+        words = self.words.where(F.col("term").isin(literal)) if len(literal) <= LITERAL_TERMS else self.words
+        by_word = search_postings(words, self._corpus("words"), asked, limit, books)
+        phrases = expanded.select(F.explode(T.trigram_terms(F.col("query"))).alias("p")).select(F.explode(T.trigrams(F.col("p"))).alias("term")).distinct()
+        parts = [r["term"] for r in phrases.limit(LITERAL_TERMS + 1).collect()]
+        trigrams = self.trigrams.where(F.col("term").isin(parts)) if len(parts) <= LITERAL_TERMS else self.trigrams
+        some = df.join(trigram_candidates(trigrams, expanded), "chunk_id", "left_semi")
+        return best_of([by_word, trigram_search(some, expanded, limit, books=books, corpus=self._corpus("trigrams"))], limit)
+
+    def _corpus(self, name: str) -> DataFrame:
+        return self.statistics.where(F.col("index_name") == name).select("rows", "mean")
+
+
 def best_of(lists: list[DataFrame], limit: int, source: str = "lexical") -> DataFrame:
     """Merge of ranked lists whose scores are lower-is-better: the best score of each chunk, then the best chunks."""
     union = lists[0]

@@ -41,6 +41,7 @@ class Engine:
     tables: dict[str, DataFrame]
     config: Config = field(default_factory=Config)
     embedder: Embedder | None = None
+    index: lexical.Index | None = None
 
     def __post_init__(self) -> None:
         self.embedder = self.embedder or HashingEmbedder(self.config.embedding_dimension)
@@ -113,7 +114,7 @@ class Engine:
         except ValueError:
             raise ValueError(f"unknown search mode: {mode}") from None
         if mode is Mode.FTS:
-            return self.details(lexical.search(self.tables["chunk"], queries, limit, self._books(queries, book_id)))
+            return self.details(self._lexical(queries, limit, self._books(queries, book_id)))
         if mode is Mode.VECTOR:
             return self.details(knn.search(self.tables["chunk_vec"], self._embedded(queries, "query"), limit, books=self._books(queries, book_id)))
         return self._fused(queries, None, limit, book_id)
@@ -138,7 +139,7 @@ class Engine:
 
     def _fused(self, queries: DataFrame, hypothesis: str | None, limit: int, book_id: int | None) -> DataFrame:
         fetch, books = limit * S.FETCH_MULTIPLIER, self._books(queries, book_id)
-        lists = [lexical.search(self.tables["chunk"], queries, fetch, books), knn.search(self.tables["chunk_vec"], self._embedded(queries, "query"), fetch, books=books)]
+        lists = [self._lexical(queries, fetch, books), knn.search(self.tables["chunk_vec"], self._embedded(queries, "query"), fetch, books=books)]
         if hypothesis:
             lists.append(knn.search(self.tables["chunk_vec"], self._embedded(queries.where(F.coalesce(hypothesis, F.lit("")) != ""), hypothesis), fetch, source="hyde", books=books))
         spread = F.lit(book_id is None or book_id <= 0) & terms.is_comparison(F.col("query"))
@@ -146,6 +147,11 @@ class Engine:
         pool = self.details(fusion.reciprocal_rank(lists, limit * S.COMPARISON_POOL)).join(asked, "query_id")
         return fusion.diversify(pool, limit, F.col("spread")).drop("spread")
 
+    def _lexical(self, queries: DataFrame, limit: int, books: DataFrame | None) -> DataFrame:
+        """From the stored index if one is open, else from the texts."""
+        chunk = self.tables["chunk"]
+        return self.index.search(chunk, queries, limit, books) if self.index else lexical.search(chunk, queries, limit, books)
+
     def details(self, ranked: DataFrame) -> DataFrame:
         return context.with_details(ranked, self.tables["chunk"], self.tables["book"], self.tables["chapter"])
 
@@ -187,9 +193,9 @@ class Engine:
     # upkeep
 
     def rebuild_lexical(self, path: str) -> None:
-        """Writes both postings tables, sorted by term so that a search reads few row groups."""
-        lexical.word_postings(self.tables["chunk"]).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/word_postings")
-        lexical.trigram_postings(self.tables["chunk"]).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/trigram_postings")
+        """Writes the lexical index below `path` and searches it from now on."""
+        lexical.Index.write(self.tables["chunk"], path)
+        self.index = lexical.Index.read(self.spark, path)
 
     def rebuild_embeddings(self, book_id: int | None = None) -> None:
         chosen = self.tables["chunk"] if book_id is None else self.tables["chunk"].where(F.col("book_id") == book_id)

@@ -232,8 +232,10 @@ def test_ingest_search_ask_delete(spark, tmp_path):
     said = engine.ask("lantern harbour", model, expand=True)
     assert said["answer"] == "It is there." and said["total_ms"] >= said["retrieval_ms"] and said["sources"].startswith("Sources:\n[1] Quiet Harbour, Part") and heard["user"].endswith("Question: lantern harbour")
     assert engine.rebuild_binary() == 2
+    before = [(r["chunk_id"], round(r["score"], 9)) for r in engine.search(asked, 5, "fts").orderBy("rank").collect()]
     engine.rebuild_lexical(str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index" / "word_postings")).where("term = 'lantern'").count() == 1
+    assert engine.index.words.where("term = 'lantern'").count() == 1
+    assert [(r["chunk_id"], round(r["score"], 9)) for r in engine.search(asked, 5, "fts").orderBy("rank").collect()] == before
     engine.export(str(tmp_path / "out"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "out")).count() == 2
     assert engine.statistics().first()["missing"] == 0 and all(engine.health().values())

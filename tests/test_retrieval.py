@@ -173,3 +173,16 @@ def test_strict_grammar(spark):
     assert loose == {1, 2, 3} and {r["query_id"] for r in strict.collect()} == {1, 2, 3}  # the word index still answers
     plain = queries.select("query_id", T.is_plain_query(F.col("query")).alias("p")).collect()
     assert [r["p"] for r in plain] == [False, False, True]
+
+
+def test_stored_index(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["harbour", "harbours", "orchard", "north", "lantern", "索引", "カタログ", "aaa", "aaaaa", "Größe"]
+    rows = [(i, rng.choice(words + [None]), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(80)] + [(900, None, None), (901, "", "")]
+    d, q = docs(spark, rows), asked(spark, "harbour north", "aaa", "索引カタログ lantern", "no such thing", "ab", "grosse")
+    lexical.Index.write(d, str(tmp_path))
+    index = lexical.Index.read(spark, str(tmp_path))
+    books = spark.createDataFrame([(1, i) for i in range(0, 80, 2)], "query_id long, chunk_id long")
+    for limit, some in ((5, None), (50, None), (5, books)):
+        stored, direct = (sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in x.collect()) for x in (index.search(d, q, limit, some), lexical.search(d, q, limit, some)))
+        assert stored == direct and stored
