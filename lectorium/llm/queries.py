@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scan(spark: SparkSession, sf_dir: str) -> scan_repair.Scan:
     page, stats, book, chapter = (table(spark, sf_dir, t) for t in ("page", "extract_stats", "book", "chapter"))
-    bodies = once(table(spark, sf_dir, "chunk"), "chunk_id", ["body"]).select("body")
+    bodies = table(spark, sf_dir, "chunk").select("body")  # only for the vocabulary, to which re-delivered rows do no harm
     return scan_repair.Scan(page, stats, book, chapter, bodies)
 
 
