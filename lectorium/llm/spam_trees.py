@@ -129,6 +129,8 @@ def weak_label() -> Column:
         | ((c("top_triple") > 0.4) & (c("keyword_share") > 0.6) & (c("row_share") < 0.1))
         | ((c("top_triple") > 0.15) & (c("repeated_pairs") > 0.75) & (c("distinct_words") < 0.15) & (c("row_share") < 0.1))
     )
+    mixed = c("link_share") + c("tag_share") + c("product_share") + F.greatest(c("repeat_share"), c("keyword_share"))
+    spam = spam | ((mixed > 0.7) & (c("sentence_share") < 0.3) & (c("row_share") < 0.1) & (c("digit_share") < 0.2) & ((c("distinct_words") < 0.5) | (c("link_share") + c("tag_share") + c("product_share") > 0.6)))
     clean = (
         ((c("sentence_rest") > 0.75) & (c("links_per_sentence") < 1.1) & (c("tag_share") < 0.3) & ((c("top_triple") < 0.2) | (c("repeated_pairs") < 0.55) & ((c("top_triple") < 0.35) | (c("keyword_share") < 0.3))))
         | ((c("link_share") < 0.05) & (c("tag_share") < 0.05) & (c("product_share") < 0.05) & (c("keyword_share") < 0.2) & (c("repeat_share") < 0.1) & (c("top_triple") < 0.2))
