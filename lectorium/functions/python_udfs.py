@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,6 +26,7 @@ def title_key(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKC", text).strip().lower()
 
 
+# The patterns of layout artefacts.
 _DECORATIVE = re.compile(f"[{DECORATIVE}]")
 _SINGLES = re.compile(r"(.)\n(?=.\n|.$)")
 _BLANK_LINES = re.compile(r"^\s+$", re.MULTILINE)
@@ -134,29 +136,33 @@ class ChunkText:
     def eval(self, text: str, size: int, overlap: int):
         if text is None:
             return
-        bodies, parts, length, tail = [], [], 0, ""
-        for paragraph in (p.strip() for p in re.split(r"\n{2,}", text)):
-            for part in (_cut(paragraph, size) if len(paragraph) > 2 * size else [paragraph] if paragraph else []):
-                if parts and length + len(part) > size:
-                    bodies.append("\n\n".join([tail, *parts] if tail else parts))
-                    tail, parts, length = bodies[-1][-overlap:] if overlap > 0 else "", [], 0
-                parts.append(part)
-                length += len(part)
-        if parts:
-            bodies.append("\n\n".join([tail, *parts] if tail else parts))
-        for i, body in enumerate(bodies):
+        paragraphs = (p.strip() for p in re.split(r"\n{2,}", text))
+        pieces = [x for p in paragraphs if p for x in (_cut(p, size) if len(p) > 2 * size else [p])]
+        tail = ""
+        for i, group in enumerate(_grouped(pieces, size)):
+            body = "\n\n".join(([tail] if tail else []) + group)
+            tail = body[-overlap:] if overlap > 0 else ""
             yield i, body, len(body)
 
 
+def _grouped(pieces: Iterable[str], size: int) -> list[list[str]]:
+    """Neighbouring pieces in groups of at most `size` characters; a larger piece is a group of its own."""
+    groups: list[list[str]] = []
+    room = -1
+    for piece in pieces:
+        if len(piece) > room:
+            groups.append([])
+            room = size
+        groups[-1].append(piece)
+        room -= len(piece)
+    return groups
+
+
 def _cut(paragraph: str, size: int) -> list[str]:
     """A long paragraph cut after Japanese sentence ends and line breaks."""
-    out, now = [], ""
-    for piece in re.findall(r"[^。？！\n]*[。？！\n]|[^。？！\n]+$", paragraph):
-        if now and len(now) + len(piece) > size:
-            out.append(now.strip())
-            now = ""
-        now += piece
-    return [*out, now.strip()] if now.strip() else out or [paragraph]
+    groups = _grouped(re.findall(r"[^。？！\n]*[。？！\n]|[^。？！\n]+$", paragraph), size)
+    made = ["".join(g).strip() for g in groups]
+    return (made if made[-1] else made[:-1]) or [paragraph]
 
 
 def register(spark: SparkSession) -> None:

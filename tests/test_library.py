@@ -15,35 +15,28 @@ from lectorium.sources import connectors, exchange, files
 from lectorium.streaming import ingest as stream
 
 
-def brute_force_split(text, size):
-    import re
+def packed(pieces, size):
+    """Indices where a new group begins, found by trying every length."""
+    groups, start = [], 0
+    while start < len(pieces):
+        end = max(e for e in range(start + 1, len(pieces) + 1) if e == start + 1 or sum(map(len, pieces[start:e])) <= size)
+        groups.append(pieces[start:end])
+        start = end
+    return groups
+
 
-    out, now = [], ""
-    for piece in re.split(r"(?<=[。？！\n])", text):
-        if len(now) + len(piece) > size and now:
-            out.append(now.strip())
-            now = piece
-        else:
-            now += piece
-    if now.strip():
-        out.append(now.strip())
-    return out or [text]
+def brute_force_split(text, size):
+    ends = [i + 1 for i, c in enumerate(text) if c in "。？！\n"]
+    pieces = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+    groups = ["".join(g).strip() for g in packed(pieces, size)]
+    return [g for i, g in enumerate(groups) if g or i + 1 < len(groups)] or [text]
 
 
 def brute_chunks(parts, size, overlap):
-    bodies, parts_now, length, tail = [], [], 0, ""
-    for part in parts:
-        if parts_now and length + len(part) > size:
-            body = "\n\n".join(parts_now)
-            body = f"{tail}\n\n{body}" if tail else body
-            bodies.append(body)
-            tail = body[-overlap:] if overlap else ""
-            parts_now, length = [], 0
-        parts_now.append(part)
-        length += len(part)
-    if parts_now:
-        body = "\n\n".join(parts_now)
-        bodies.append(f"{tail}\n\n{body}" if tail else body)
+    bodies = []
+    for group in packed(parts, size):
+        lead = bodies[-1][max(0, len(bodies[-1]) - overlap) :] if bodies and overlap else ""
+        bodies.append("\n\n".join(filter(None, [lead, "\n\n".join(group)])))
     return bodies
 
 
