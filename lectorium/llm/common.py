@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectorium.session import checkpointed, row_numbers
 
-__all__ = ["ARROW_ROWS", "bound_batches", "checkpointed", "once", "row_numbers", "table", "vocabulary_path"]
+__all__ = ["ARROW_ROWS", "bound_batches", "bounded_sample", "checkpointed", "once", "row_numbers", "table", "vocabulary_path"]
 
 #: Rows of one Arrow batch handed to Python; with texts of some hundred KB a batch stays under about 100 MB.
 ARROW_ROWS = 500
@@ -36,3 +36,15 @@ def once(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 def vocabulary_path(name: str, folder: str | None = None) -> str:
     """Place of a public tokenizer's file; `folder` or LECTORIUM_TOKENIZERS overrides the usual place."""
     return os.path.join(folder or os.environ.get("LECTORIUM_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows of `df`: all of them, or those whose key's hash lies below a bound that lets so many pass.
+
+    The same rows come on every run. Unlike an ordered limit it gathers nothing beyond the sample in one place.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    span = 1 << 40
+    return df.where(F.pmod(F.xxhash64(key), F.lit(span)) < int(0.95 * rows / total * span)).limit(rows)

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches
+from lectorium.llm.common import bound_batches, bounded_sample
 
-#: Rows of the training sample: a documented bound; the sample is the rows of the smallest hashes.
+#: Rows of the training sample: a documented bound; rows are chosen by their hashes.
 SAMPLE_ROWS = 3_000
 #: Longer texts don't enter the sample, which the driver holds.
 SAMPLE_CHARACTERS = 20_000
@@ -337,9 +337,9 @@ def find(text: str, model: Model, known: dict | None = None, western: bool = Tru
 
 
 def sample(df: DataFrame, id_column: str, text_column: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Texts of the `rows` rows with the smallest hashes of their ids."""
-    picked = df.where(F.length(text_column) <= SAMPLE_CHARACTERS).select(F.xxhash64(id_column).alias("h"), text_column).orderBy("h").limit(rows)
-    return [r[1] for r in picked.collect()]
+    """Texts of at most `rows` rows, chosen by the hashes of their ids."""
+    eligible = df.where(F.length(text_column) <= SAMPLE_CHARACTERS).select(id_column, text_column)
+    return [r[1] for r in bounded_sample(eligible, id_column, rows).collect()]
 
 
 def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, checkpointed
+from lectorium.llm.common import bound_batches, bounded_sample, checkpointed
 
-#: Weakly labelled rows of either label that the trees see at most: a documented bound, taken by smallest hash.
+#: Weakly labelled rows of either label that the trees see at most: a documented bound; rows are chosen by their hashes.
 TRAINING_ROWS = 8_000
 TREES, DEPTH = 21, 8
 #: Weight of the host's rate in a page's final score, and pages that a host's rate is drawn towards the overall rate by.
@@ -160,8 +160,7 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
 
     `labelled` has the assembled `features` and a `label`; of each label at most TRAINING_ROWS rows are used.
     """
-    order = F.xxhash64("id")
-    rows = [labelled.where(F.col("label") == v).orderBy(order).limit(TRAINING_ROWS) for v in (0.0, 1.0)]
+    rows = [bounded_sample(labelled.where(F.col("label") == v), "id", TRAINING_ROWS) for v in (0.0, 1.0)]
     sample = checkpointed(rows[0].unionByName(rows[1]).select("features", "label"))
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
