@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in.
+
+    For a shared or local file system; on other clusters the package is installed with Spark's usual means.
+    """
+    place = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if place not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [place, *paths]))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 

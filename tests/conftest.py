@@ -17,5 +17,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from lectorium.session import importable
+
+    importable(session)
     yield session
     session.stop()
