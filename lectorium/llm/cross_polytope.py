@@ -8,6 +8,7 @@ exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +23,8 @@ from lectorium.llm.common import bound_batches, checkpointed
 BLOCK = 2_000
 #: Queries, and rows, of a pair of blocks in a search.
 QUERY_BLOCK = 20_000
+#: Expected share of the pairs at the threshold itself that are met, whatever the number of rows.
+RECALL = 0.995
 
 
 @dataclass
@@ -130,12 +133,59 @@ def _axes_for(rows: int, padded: int) -> int:
     return axes
 
 
+def meeting_rate(dimension: int, axes: int, probes: int, least: float, pairs: int = 4_000, tables: int = 4) -> float:
+    """Chance that a pair of cosine `least` meets in one table, by trial, less two standard errors.
+
+    Pseudo-rotations are random, so it is the same for every pair of that cosine.
+    """
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(2, pairs, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * np.einsum("ij,ij->i", x, y)[:, None]
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * y
+    hashing = Hashing(dimension, tables, axes, probes, seed=13)
+    met = 0
+    for table in range(tables):
+        a, b = hashing.buckets(x.astype(np.float32), table), hashing.buckets(y.astype(np.float32), table)
+        met += int(((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).sum())
+    n = pairs * tables
+    return met / n - 2 * math.sqrt(met / n * (1 - met / n) / n)
+
+
+def _tables_for(dimension: int, axes: int, probes: int, least: float) -> float:
+    """Tables in which a pair of cosine `least` meets with a chance of RECALL; infinite if trials met none."""
+    rate = meeting_rate(dimension, axes, probes, least)
+    if rate >= 1:
+        return 1
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - rate)) if rate > 0 else math.inf
+
+
+def hashing_for(rows: int, dimension: int, least: float, tables: int, probes: int) -> Hashing:
+    """Hashing of so many rows that meets pairs of cosine `least` with a chance of RECALL, with `tables` tables or more.
+
+    An axis more makes buckets smaller and takes more tables; where these would outweigh that, an axis less is taken.
+    """
+    padded = 1 << max(1, (dimension - 1).bit_length())
+    axes = _axes_for(rows, padded)
+    needed = _tables_for(dimension, axes, probes, least)
+    while axes > 1 and needed > 2 * padded:
+        fewer = _tables_for(dimension, axes - 1, probes, least)
+        if needed <= 2 * padded * fewer and needed < math.inf:
+            break
+        axes, needed = axes - 1, fewer
+    if needed == math.inf:
+        raise ValueError(f"hashing meets no pairs of a cosine of {least}")
+    return Hashing(dimension, max(tables, int(needed)), axes, probes)
+
+
 def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: float, tables: int = 8, probes: int = 3, dimension: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of ids whose vectors have a cosine similarity of `least` or more.
 
     Equal vectors are one class: classes are compared, and pairs follow from their members. Entries carry a copy
     of the vector in bytes for a first comparison in the bucket, which forms no pair below `least` less its
-    rounding; what is left is compared exactly. Buckets above BLOCK entries are compared in blocks.
+    rounding; what is left is compared exactly. Buckets above BLOCK entries are compared in blocks. `tables` is the
+    least number of tables: there are as many as RECALL takes with the axes and probes.
     """
     dimension = dimension or usual_dimension(df, vector_column)
     kind = df.schema[id_column].dataType.simpleString()
@@ -145,7 +195,7 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
     members = checkpointed(vectors.select("id", F.struct(F.xxhash64("vec").alias("h"), F.hash("vec").alias("g")).alias("key"), "vec"))
     classes = members.groupBy("key").agg(F.min_by(F.struct("id", "vec"), "id").alias("x")).select("key", F.col("x.id").alias("rep"), F.col("x.vec").alias("vec"))
     rows = classes.count()
-    hashing = Hashing(dimension, tables, _axes_for(rows, 1 << max(1, (dimension - 1).bit_length())), probes)
+    hashing = hashing_for(rows, dimension, least, tables, probes)
 
     # copies in bytes: a component is off by at most half a step, so cosines by little; the exact comparison follows
     entries = _entries(classes.select("rep", "vec"), hashing, kind)
@@ -163,7 +213,7 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
     rough = least - 0.03
 
     # several buckets share a task's group; each of them is compared by itself
-    groups = max(8, -(-rows * tables * probes // 40_000))
+    groups = max(8, -(-rows * hashing.tables * probes // 40_000))
     key = F.xxhash64("table", "bucket", "low", "high")
     entries = entries.select("rep", "small", "home", "own", (F.col("low") != F.col("high")).alias("cross"), key.alias("key"), F.pmod(key, F.lit(groups)).alias("part"))
 

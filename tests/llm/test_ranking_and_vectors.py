@@ -85,6 +85,27 @@ def test_similar_pairs_against_brute_force(spark):
     assert CP.similar_pairs(df.where("id = 9002"), "id", "embedding", 0.9).count() == 0
 
 
+def at_cosine(cosine, n, d, seed):
+    rng = np.random.default_rng(seed)
+    x, y = unit(rng.normal(size=(n, d))), rng.normal(size=(n, d))
+    y = unit(y - x * (x * y).sum(axis=1, keepdims=True))
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
+
+
+def test_recall_at_the_threshold_whatever_the_axes(spark, monkeypatch):
+    x, y = at_cosine(0.901, 400, 64, 4)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate((x, y)))]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    for axes in (3, 4):
+        monkeypatch.setattr(CP, "_axes_for", lambda rows, padded: axes)
+        assert CP.hashing_for(800, 64, 0.9, 8, 3).axes == axes
+        pairs = {tuple(r) for r in CP.similar_pairs(df, "id", "embedding", 0.9).collect()}
+        assert sum((i, i + 400) in pairs for i in range(400)) >= 0.985 * 400
+    monkeypatch.undo()
+    assert [CP.hashing_for(n, 64, 0.9, 8, 3).axes for n in (5_000, 655_000, 1_000_000, 100_000_000)] == [1, 2, 3, 4]
+    assert CP.hashing_for(81_000, 64, 0.9, 8, 3).tables == 8
+
+
 def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     monkeypatch.setattr(CP, "BLOCK", 50)
     rng = np.random.default_rng(1)
