@@ -4,22 +4,24 @@ A multinomial classifier on hashed byte bigrams names the exact chain (true enco
 It is trained on a bounded sample of the corpus, garbled by every chain. The chain is inverted, and a token counts
 as garbled only if its bytes decode strictly under the true encoding (at a replacement character the sequence cut
 there may be incomplete) and the result is likelier as clean text than what stood there; tokens that lost bytes
-need much evidence.
+need much evidence. Western encodings taken for each other are judged by words too: those of all texts, which
+the restored forms of suspect tokens are joined with.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, bounded_sample
+from lectorium.llm.common import bound_batches, bounded_sample, checkpointed
 
 #: Rows of the training sample: a documented bound; rows are chosen by their hashes.
 SAMPLE_ROWS = 3_000
@@ -43,6 +45,9 @@ WESTERN = (("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("
 #: Gain in log probability that a line, and a page, must show for that.
 LINE_GAIN, PAGE_GAIN = 10.0, 16.0
 
+#: Words that a task keeps in mind so as to send each of them once.
+WORDS_IN_MIND = 200_000
+
 Chain = tuple[tuple[str, str], ...]
 
 
@@ -166,6 +171,8 @@ class Model:
 
 
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
+#: A word that restoring a Western token can give.
+_WESTERN_WORD = re.compile(f"[{''.join(sorted({c for step in WESTERN for c in bytes(range(256)).decode(step[0], 'ignore').lower() if c.isalpha()}))}]+")
 
 
 def _fit(clean: list[str], classes: list[Chain], rows: int) -> Model:
@@ -246,9 +253,14 @@ def _token(token: str, model: Model) -> tuple[Chain | None, str, float, bool]:
     return None, token, 0.0, False
 
 
-def _western(lines: list[str], model: Model, known: dict) -> tuple[list[str], float, Chain | None]:
-    """(lines put right, gain, chain) for the one Western chain that makes the text's lines likeliest."""
+def _western(lines: list[str], model: Model, known: dict, words: Collection[str] | None) -> tuple[list[str], float, Chain | None, set[str]]:
+    """(lines put right, gain, chain, words asked for) for the one Western chain that makes the text's lines likeliest.
+
+    Only tokens whose restored words are all in `words` speak for a chain; None takes every word for known, which
+    gives the largest gain that the text can have.
+    """
     best: tuple[float, Chain | None, dict[int, str]] = (0.0, None, {})
+    asked: set[str] = set()
     odd_lines = [(n, [t for t in line.split(" ") if not t.isascii()]) for n, line in enumerate(lines) if not line.isascii()]
     for step in WESTERN:
         total, made = 0.0, {}
@@ -258,26 +270,43 @@ def _western(lines: list[str], model: Model, known: dict) -> tuple[list[str], fl
                 got = known.get((step, t))
                 if got is None:
                     got = known[step, t] = _western_token(t, step, model)
-                to[t] = got[0]
-                gain, worst = gain + got[1], min(worst, got[1])
+                to[t], value = got
+                if value > 0:
+                    own = _LETTERS.findall(to[t].lower())
+                    if words is None:
+                        asked.update(own)
+                    elif not all(w in words for w in own):
+                        value = 0.0
+                gain, worst = gain + value, min(worst, value)
             if gain >= LINE_GAIN and worst > -2.0:
                 total += gain
                 made[n] = " ".join(to.get(t, t) for t in lines[n].split(" "))
         if total > best[0]:
             best = (total, (step,), made)
     total, chain, made = best
-    return [made.get(n, line) for n, line in enumerate(lines)], total, chain
+    return [made.get(n, line) for n, line in enumerate(lines)], total, chain, asked
 
 
 def _western_token(token: str, step: tuple[str, str], model: Model) -> tuple[str, float]:
+    """(restored token, gain if its words are known)."""
     got = restore(token, (step,)) if "\ufffd" not in token else None
     if got is None or got[0] == token or _UNLIKELY.search(got[0]):
         return token, 0.0
     if sum(c.isascii() and c.isalpha() for c in token) < 2:  # signs by themselves say nothing
         return got[0], 0.0
-    gain = 3.0 * len(_NON_ASCII.findall(token)) * (model.clean_rate(got[0]) - model.clean_rate(token))
-    # only words of the sample speak for it
-    return got[0], gain if gain < 0 or all(w in model.words for w in _LETTERS.findall(got[0].lower())) else 0.0
+    return got[0], 3.0 * len(_NON_ASCII.findall(token)) * (model.clean_rate(got[0]) - model.clean_rate(token))
+
+
+def _named(chain: Chain) -> str:
+    return " | ".join(f"{right} read as {wrong}" for right, wrong in chain)
+
+
+def find_western(text: str, model: Model, known: dict, words: Collection[str]) -> tuple[bool, str, bool, str | None]:
+    """As `find`, for Western encodings taken for each other alone."""
+    lines, gain, chain, _ = _western(text.split("\n"), model, known, words)
+    if gain < PAGE_GAIN or chain is None:
+        return False, text, False, None
+    return True, "\n".join(lines), True, _named(chain)
 
 
 def find(text: str, model: Model, known: dict | None = None, western: bool = True) -> tuple[bool, str, bool, str | None]:
@@ -328,12 +357,8 @@ def find(text: str, model: Model, known: dict | None = None, western: bool = Tru
     made = "\n".join(lines)
     # strict decoding proves little of encodings in which almost any bytes are text: those need more evidence
     if strict < 2.0 and weak < 40.0:
-        lines, gain, step = _western(text.split("\n"), model, known) if western else ([], 0.0, None)
-        if gain < PAGE_GAIN or step is None:
-            return False, text, False, None
-        made, lost, evidence = "\n".join(lines), False, {step: gain}
-    chain = " | ".join(f"{right} read as {wrong}" for right, wrong in max(evidence, key=evidence.get))
-    return True, made, not lost, chain
+        return find_western(text, model, known, model.words) if western else (False, text, False, None)
+    return True, made, not lost, _named(max(evidence, key=evidence.get))
 
 
 def sample(df: DataFrame, id_column: str, text_column: str, rows: int = SAMPLE_ROWS) -> list[str]:
@@ -350,15 +375,48 @@ def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text"
     """
     model = train(sample(df, id_column, text_column, rows))
     bound_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((model.logs, model.classes, model.words))  # about 130 classes x BUCKETS x 4 bytes, and the words of the sample
+    shared = df.sparkSession.sparkContext.broadcast((model.logs, model.classes))  # about 130 classes x BUCKETS x 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows found by other chains; of the rest those that a Western chain may have made, as suspects with the words to be known; new words."""
+        model, known, seen = Model(*shared.value), {}, set()
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out, words = [], set()
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                got = find(t, model, known, western=False)
+                if got[0]:
+                    out.append((i, got[3], got[1], got[2], None, None))
+                    continue
+                words.update(_LETTERS.findall(t.lower()))
+                if t.isascii():
+                    continue
+                _, gain, _, asked = _western(t.split("\n"), model, known, None)
+                if gain >= PAGE_GAIN:
+                    row += 1
+                    out.append((i, None, t, None, row, list(asked)))
+            words = {w for w in words - seen if _WESTERN_WORD.fullmatch(w)}
+            if len(seen) > WORDS_IN_MIND:
+                seen.clear()
+            seen |= words
+            out.append((None, None, None, None, None, list(words)))
+            kinds = (batch.schema.field("id").type, pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "chain", "restored", "complete", "row", "words"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(*shared.value), {}
         for batch in batches:
-            rows = [(i, *find(t, model, known)) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())]
+            rows = [(i, *find_western(t, model, known, frozenset(words or ()))) for i, t, words in zip(*(batch.column(c).to_pylist() for c in ("id", "restored", "words")))]
             rows = [r for r in rows if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field("id").type), pa.array([r[4] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())], ["id", "chain", "restored", "complete"])
 
     kind = df.schema[id_column].dataType.simpleString()
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    return texts.mapInArrow(run, f"id {kind}, chain string, restored string, complete boolean").withColumnRenamed("id", id_column)
+    made = checkpointed(texts.mapInArrow(run, f"id {kind}, chain string, restored string, complete boolean, row bigint, words array<string>"))
+    suspects = made.where("row is not null")
+    asked = suspects.select("row", F.explode("words").alias("word"))
+    words = made.where("chain is null and row is null").select(F.explode("words").alias("word"))
+    held = words.join(asked.select("word").distinct(), "word", "left_semi").distinct()
+    known = asked.join(held, "word").groupBy("row").agg(F.collect_list("word").alias("words"))
+    western = suspects.select("id", "restored", "row").join(known, "row", "left").select("id", "restored", "words").mapInArrow(judge, f"id {kind}, chain string, restored string, complete boolean")
+    return made.where("chain is not null").select("id", "chain", "restored", "complete").unionByName(western).withColumnRenamed("id", id_column)

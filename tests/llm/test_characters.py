@@ -96,3 +96,17 @@ def test_garbled_table(spark):
     assert sorted(got) == [1, 5]
     assert got[1]["restored"] == TEXTS[0] and got[1]["complete"] and got[5]["restored"] == TEXTS[0] + "\n\n" + TEXTS[3]
     assert M.garbled(df.limit(0)).count() == 0
+
+
+def test_words_of_pages_outside_the_sample(spark):
+    rare = [
+        "Le forgeron désœuvré préférait l’éphémère à l’opéra, écœuré par la fièvre et l’évêché.", "La crémière égarée vénérait le sphéroïde, l’épée rouillée, la clé rêvée et l’orchidée.",
+        "Le célèbre géomètre détestait la poésie, la dictée, le geste forcé et le musée.", "La comète dévêtue déréglait le réacteur, où le général fêtait l’été passé.",
+        "Une sirène fatiguée répétait la mélopée, près du phénix pétrifié et du hérisson givré.", "Le téléphérique grinçait, déporté, près de la forêt brûlée et de l’abbaye isolée.",
+    ]
+    rare = [t.replace("œ", "e").replace("’", " ") for t in rare]
+    bad = [M.garble(t, (("cp1252", "cp850"),)) for t in rare]
+    rows = [(1 + i, t) for i, t in enumerate(bad)] + [(50 + i, t) for i, t in enumerate(rare)] + [(100 + i, t) for i, t in enumerate(TEXTS * 100 + TEXTS[:1] * 1_000)]  # much clean French, so that the garbled rows of the sample don't count for the classifier
+    df = spark.createDataFrame(rows, "page_id long, text string")
+    got = {r["page_id"]: r["restored"] for r in M.garbled(df, rows=500).collect()}
+    assert got == {1 + i: t for i, t in enumerate(rare)}
