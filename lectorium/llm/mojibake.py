@@ -25,7 +25,7 @@ from lectorium.llm.common import bound_batches, bounded_sample, checkpointed
 
 #: Rows of the training sample: a documented bound; rows are chosen by their hashes.
 SAMPLE_ROWS = 3_000
-#: Longer texts don't enter the sample, which the driver holds.
+#: Of longer texts a piece of this length enters the sample, which the driver holds.
 SAMPLE_CHARACTERS = 20_000
 #: Rows of the sample garbled by each chain.
 ROWS_PER_CHAIN = 400
@@ -362,9 +362,11 @@ def find(text: str, model: Model, known: dict | None = None, western: bool = Tru
 
 
 def sample(df: DataFrame, id_column: str, text_column: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Texts of at most `rows` rows, chosen by the hashes of their ids."""
-    eligible = df.where(F.length(text_column) <= SAMPLE_CHARACTERS).select(id_column, text_column)
-    return [r[1] for r in bounded_sample(eligible, id_column, rows).collect()]
+    """Texts of at most `rows` rows, chosen by the hashes of their ids; of a long text a piece at a hashed place."""
+    text = F.col(text_column)
+    start = F.pmod(F.xxhash64(id_column, F.lit(5)), F.length(text) - SAMPLE_CHARACTERS + 1).cast("int") + 1
+    piece = F.when(F.length(text) <= SAMPLE_CHARACTERS, text).otherwise(F.substring(text, start, F.lit(SAMPLE_CHARACTERS)))
+    return [r[1] for r in bounded_sample(df.where(text.isNotNull()), id_column, rows).select(id_column, piece).collect()]
 
 
 def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -110,3 +110,13 @@ def test_words_of_pages_outside_the_sample(spark):
     df = spark.createDataFrame(rows, "page_id long, text string")
     got = {r["page_id"]: r["restored"] for r in M.garbled(df, rows=500).collect()}
     assert got == {1 + i: t for i, t in enumerate(rare)}
+
+
+def test_tables_of_long_texts_only(spark):
+    clean = {i: "\n".join([TEXTS[i % 10]] * (1 + M.SAMPLE_CHARACTERS // len(TEXTS[i % 10]))) + "." * 100 for i in range(20)}
+    bad = M.garble(TEXTS[0], (("utf-8", "cp1252"),)) + "\n" + clean[1]
+    df = spark.createDataFrame([(100, bad), *clean.items()], "page_id long, text string")
+    assert all(len(t) > M.SAMPLE_CHARACTERS for t in clean.values())
+    pieces = M.sample(df, "page_id", "text")
+    assert len(pieces) == 21 and all(len(t) == M.SAMPLE_CHARACTERS for t in pieces)
+    assert [r["page_id"] for r in M.garbled(df).collect()] == [100]
