@@ -47,6 +47,34 @@ def _hide(text: Column, before: str, ends: str, after: str) -> Column:
     return text
 
 
+#: The private-use character that stands for the line break before a blank line, which no bracket goes beyond.
+_PARAGRAPH = chr(0xE000 + len(ENDS))
+
+
+def _span(opening: str, closing: str, depth: int = 4) -> str:
+    """Java pattern of a balanced span within a paragraph, of any length, with spans of its kind nested to `depth`."""
+    within = f"[^{opening}{closing}{_PARAGRAPH}]*+"
+    inner = f"(?:{_span(opening, closing, depth - 1)}{within})*+" if depth > 1 else ""
+    return f"[{opening}]{within}{inner}[{closing}]"
+
+
+def _hide_spans(text: Column) -> Column:
+    """Masks the terminators in brackets and corner quotes; one just before the closing sign only in full-width brackets."""
+    hidden, cjk_hidden = "".join(HIDDEN[e] for e in ENDS), "".join(HIDDEN[e] for e in CJK_ENDS)
+    text = F.regexp_replace(text, "\\n(?=[ \\t\\r\\f\\x0b\\u00a0\\u2000-\\u200a\\u202f\\u3000]*\\n)", _PARAGRAPH)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){'|'.join(_span(a, b) for a, b in ('()', '（）', '「」', '『』'))}|[^(（「『]++|."), F.lit(0))
+
+    def hide(piece: Column) -> Column:
+        first, most = F.substring(piece, 1, 1), F.length(piece) - 2
+        last = F.substring(piece, most + 1, F.lit(2))
+        return (
+            F.when(most < 0, piece).when(first == "(", F.concat(F.translate(F.substring(piece, F.lit(1), most), ENDS, hidden), last))
+            .when(first == "（", F.translate(piece, CJK_ENDS, cjk_hidden)).when(first.isin("「", "『"), F.concat(F.translate(F.substring(piece, F.lit(1), most), CJK_ENDS, cjk_hidden), last)).otherwise(piece)
+        )
+
+    return F.translate(F.array_join(F.transform(pieces, hide), ""), _PARAGRAPH, "\n")
+
+
 def mask(text: Column) -> Column:
     """`text` with every terminator that ends no sentence replaced by one private-use character each."""
     closers = f"{CLOSERS}{{0,4}}"
@@ -63,7 +91,8 @@ def mask(text: Column) -> Column:
     text = _hide(text, f"(?<=(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}])(?:{names}))", ".", f"(?={SPACE}{{0,3}}[^\\s])")
     text = _hide(text, "(?<=(?:[\\p{L}][\\ue000] ?\\p{L}))", ".", f"(?={SPACE}{{1,3}}[\\p{{Lu}}\\p{{N}}](?<![aApP][\\ue000] ?[mM][.]{SPACE}{{1,3}}.))")
     text = _hide(text, "(?<=[0-9])", ".", f"(?={SPACE}{{1,3}}(?:{'|'.join(MONTHS.split())})\\b)")
-    # inside brackets
+    # inside brackets and corner quotes, of whatever length; near a closing sign also where the text begins within them
+    text = _hide_spans(text)
     text = _hide(text, "", ENDS, "(?=[^()\\n]{1,300}\\))(?=(?:[^()]|\\([^()]*\\))*\\))")
     text = _hide(text, "", CJK_ENDS, "(?=[^（）]{0,300}）)")
     # quotations after which the sentence goes on

@@ -86,6 +86,18 @@ def test_sentences_in_many_scripts(spark):
     assert ends(spark, "Broken line\nis one. Glued.Next one") == ["Broken line\nis one.", "Glued.", "Next one"]
 
 
+def test_long_brackets_and_quotations(spark):
+    long = "It stops here. It goes on. " * 20
+    for case in (["The lantern (" + long + "so it is) is on.", "Next one."], ["The lantern (it stops.\nIt goes on) is on.", "Next one."], ["A lantern (one. Two (three. Four) five. Six) is on.", "Next one."]):
+        assert ends(spark, " ".join(case)) == case
+    long = "索引が補う。" * 80
+    for case in (["目録（" + long + "改訂）は本文を置き換えた。", "次の文。"], ["司書は「" + long + "はい」と尋ねた。", "次の文。"], ["司書は『" + long + "はい』と尋ねた。", "次の文。"]):
+        assert ends(spark, "".join(case)) == case
+    # an open bracket or quotation without its end doesn't reach beyond its paragraph
+    assert ends(spark, "It is (open. And on.\n\nNext) one. Last.") == ends(spark, "It is (open. And on.") + ends(spark, "Next) one. Last.")
+    assert ends(spark, "(" * 20_000 + "a. B" + "「" * 20_000)[0] == "(" * 20_000 + "a."
+
+
 def test_sentences_lose_nothing(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(["A", "b", ". ", "! ", "。", "」", "”", "\n", "\n\n", " ", "1.", "(", ")", "…", "？", "ก", "ä"]) for _ in range(rng.randrange(40))) for _ in range(200)]
