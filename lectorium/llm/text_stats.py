@@ -303,8 +303,8 @@ def text_statistics(df: DataFrame, keys: list[str], text_column: str) -> DataFra
 
     def folded(parts: list[dict]) -> State:
         state = None
-        for x in sorted(parts, key=lambda x: x["_at"]):
-            state = merge(state, pickle.loads(x["_state"]))
+        for _, x in sorted({x["_at"]: x["_state"] for x in parts}.items()):  # a re-delivered row gives each part again
+            state = merge(state, pickle.loads(x))
         return state
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

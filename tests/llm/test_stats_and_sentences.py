@@ -59,6 +59,14 @@ def test_statistics_table(spark):
     assert TS.text_statistics(df.limit(0), ["field", "row_id"], "text").count() == 0
 
 
+def test_long_row_delivered_twice(spark):
+    long = "The harbour was quiet\n" * 3000 + "| a | 12 |\n" * 60_000  # many segments
+    df = spark.createDataFrame([("f", 1, long), ("f", 1, long), ("f", 2, long)], "field string, row_id long, text string")
+    got = {r["row_id"]: r[2:] for r in TS.text_statistics(df, ["field", "row_id"], "text").collect()}
+    whole = TS.figures(TS.totals_of(TS.state_of(long)))
+    assert got[1] == got[2] and got[1][:3] == whole[:3]
+
+
 def ends(spark, text):
     df = spark.createDataFrame([(1, text)], "chunk_id long, body string")
     return [r["sentence"] for r in SE.sentences(df).orderBy("sentence_no").collect()]
