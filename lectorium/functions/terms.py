@@ -32,9 +32,8 @@ ALIASES: Mapping[str, Sequence[str]] = {
 #: Terms of a query that ask for a comparison, in their order.
 CONTROL_TERMS = ("比較したい", "比較", "共通点", "違い", "それぞれ", "対比", "compare", "difference", "both")
 
-WORD = "[\\p{L}\\p{N}\\p{M}]+"
-#: Runs of one kind: Han, Hiragana, Katakana, or letters and digits of other scripts.
-SEGMENT = "\\p{IsHan}+|\\p{IsHiragana}+|[\\p{IsKatakana}ー]+|(?:[\\p{L}\\p{N}\\p{M}](?<![\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]))+"
+#: Runs of one kind: Han, Hiragana, Katakana, or letters, digits and marks of other scripts.
+SEGMENT = "\\p{IsHan}+|\\p{IsHiragana}+|[\\p{IsKatakana}ー]+|[\\p{L}\\p{N}\\p{M}&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー]]+"
 
 
 def fold(text: Column) -> Column:
@@ -43,12 +42,12 @@ def fold(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Array of the words of the word index: runs of letters, digits and marks, folded."""
-    return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
+    """Array of the terms of the word index: the folded segments of a text, as questions are cut."""
+    return segments(fold(text))
 
 
 def segments(text: Column) -> Column:
-    """Array of surfaces: runs of one script. The place of a morphological analyser (see Engine.segmenter)."""
+    """Array of surfaces: runs of one script, so that words of unspaced text are found. The place of a morphological analyser."""
     return F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0))
 
 
@@ -57,7 +56,7 @@ def query_segments(text: Column) -> Column:
 
     If none is left, the query's own words stand in.
     """
-    found = F.filter(F.transform(segments(text), fold), lambda t: F.length(t) > 1)
+    found = F.filter(words(text), lambda t: F.length(t) > 1)
     return F.when(F.size(found) > 0, found).otherwise(words(text))
 
 

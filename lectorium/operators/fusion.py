@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectorium.schema import COMPARISON_BOOKS, RRF_K
 
+#: Places to which fused scores are rounded before they are ranked, as sums of doubles differ in their last digits from run to run.
+SCORE_PLACES = 12
+
 
 def ranked(results: DataFrame, source: str, better: str = "low") -> DataFrame:
     """(query_id, source, chunk_id, rank, score) of scored results: rank by score, ties by chunk_id."""
@@ -20,7 +23,7 @@ def reciprocal_rank(lists: list[DataFrame] | DataFrame, limit: int, k: int = RRF
     union = lists if isinstance(lists, DataFrame) else lists[0]
     for one in () if isinstance(lists, DataFrame) else lists[1:]:
         union = union.unionByName(one)
-    fused = union.groupBy("query_id", "chunk_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
+    fused = union.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), SCORE_PLACES).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", F.lit(source).alias("source"), "chunk_id", "rank", "score")
 

@@ -14,6 +14,8 @@ from lectorium.functions import terms as T
 from lectorium.schema import BM25_B, BM25_K1, BM25_LEAST_IDF
 
 
+#: Places to which scores are rounded before they are ranked: sums of doubles differ in their last digits from run to run.
+SCORE_PLACES = 9
 #: Distinct terms of all questions that may stand in the plan itself.
 LITERAL_TERMS = 1_000
 
@@ -88,7 +90,7 @@ def search_postings(postings: DataFrame, corpus: DataFrame, asked: DataFrame, li
     weights = asked.join(n, "term")
     hits = postings.join(weights, "term").crossJoin(F.broadcast(corpus))  # one row
     score = _score(F.col("tf"), F.col("n"), F.col("rows"), F.col("length"), F.col("mean"))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(score * F.col("times")).alias("score"))
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(score * F.col("times")), SCORE_PLACES).alias("score"))
     return _top(_kept_books(scored, books), source, limit)
 
 
@@ -120,7 +122,7 @@ def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str
     wanted = asked.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term")).groupBy("query_id", "needed", "term").agg(F.count("*").alias("times"))
     scored = counted.join(wanted, "term").join(n, "term").crossJoin(F.broadcast(corpus))
     score = _score(F.col("tf"), F.col("n"), F.col("rows"), F.col("length"), F.col("mean"))
-    full = scored.groupBy("query_id", "needed", "chunk_id").agg(F.sum(score * F.col("times")).alias("score"), F.sum("times").alias("matched")).where("matched = needed")
+    full = scored.groupBy("query_id", "needed", "chunk_id").agg(F.round(F.sum(score * F.col("times")), SCORE_PLACES).alias("score"), F.sum("times").alias("matched")).where("matched = needed")
     return _top(_kept_books(full, books), "trigram", limit)
 
 

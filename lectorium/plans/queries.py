@@ -18,7 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The questions that the lexical and hybrid queries ask.
 QUESTIONS = (
-    (1, "annotated catalogue margin"), (2, "reading room lantern"), (3, "compare the quiet harbour and the faded orchard"), (4, "索引 カタログ"), (5, "Größe der Bibliothek"),
+    (1, "annotated catalogue margin"), (2, "reading room lantern"), (3, "compare the quiet harbour and the faded orchard"), (4, "索引とカタログ"), (5, "Größe der Bibliothek"),
     (6, "both retrieval and embedding"), (7, "vocabulary vocabulary"), (8, "technical 技術文書"),
 )
 
@@ -57,17 +57,19 @@ def _fold(column: str) -> str:
     return f"translate(lower({column}), '{T.ACCENTED}ς', '{T.PLAIN}σ')"
 
 
-# DuckDB has no look-behind, so the segments of the questions are given by their scripts
-_SEGMENTS = r"'\p{Han}+|\p{Hiragana}+|[\p{Katakana}ー]+|[\p{Latin}\p{N}\p{M}]+'"
+def _words_sql(column: str) -> str:
+    """Folded segments: runs of Han, Hiragana and Katakana are set apart by blanks, as RE2 can't subtract classes."""
+    return rf"regexp_extract_all(regexp_replace({_fold(column)}, '(\p{{Han}}+|\p{{Hiragana}}+|[\p{{Katakana}}ー]+)', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+')"
 
-_WORD_SEARCH = rf"""
-, docs AS (SELECT doc_id AS chunk_id, list_concat(regexp_extract_all({_fold("coalesce(heading, '')")}, '[\p{{L}}\p{{N}}\p{{M}}]+'), regexp_extract_all({_fold("coalesce(text, '')")}, '[\p{{L}}\p{{N}}\p{{M}}]+')) AS terms FROM documents)
+
+_WORD_SEARCH = f"""
+, docs AS (SELECT doc_id AS chunk_id, list_concat({_words_sql("coalesce(heading, '')")}, {_words_sql("coalesce(text, '')")}) AS terms FROM documents)
 , corpus AS (SELECT count(*) AS n_rows, avg(len(terms)) AS mean FROM docs)
-, asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(list_transform(regexp_extract_all(query, {_SEGMENTS}), lambda x: {_fold("x")}), lambda x: length(x) > 1)) AS term FROM expanded) GROUP BY ALL)
+, asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter({_words_sql("query")}, lambda x: length(x) > 1)) AS term FROM expanded) GROUP BY ALL)
 , flat AS (SELECT chunk_id, len(terms) AS length, unnest(terms) AS term FROM docs)
 , post AS (SELECT term, chunk_id, length, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL)
 , df AS (SELECT term, count(*) AS n FROM post GROUP BY term)
-, word_scored AS (SELECT query_id, chunk_id, sum(times * -(CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+, word_scored AS (SELECT query_id, chunk_id, round(sum(times * -(CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
   FROM post JOIN asked USING (term) JOIN df USING (term), corpus GROUP BY ALL)
 """
 _TRIGRAM_SEARCH = """
@@ -83,7 +85,7 @@ _TRIGRAM_SEARCH = """
   FROM tlen, tterms WHERE contains(head, term) OR contains(body, term))
 , tcount AS (SELECT chunk_id, length, term, in_head + in_body AS tf FROM thits)
 , tdf AS (SELECT term, count(*) AS n FROM tcount GROUP BY term)
-, tri_scored AS (SELECT query_id, chunk_id, score FROM (SELECT query_id, chunk_id, sum(times) AS matched, sum(times * -(CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+, tri_scored AS (SELECT query_id, chunk_id, score FROM (SELECT query_id, chunk_id, sum(times) AS matched, round(sum(times * -(CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
   FROM tcount JOIN tasked USING (term) JOIN tdf USING (term), tcorpus GROUP BY ALL) JOIN tneed USING (query_id) WHERE matched = needed)
 """
 
@@ -191,7 +193,7 @@ def _result_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTS = """scored AS (SELECT query_id, score_list, chunk_id, CASE WHEN score IS NULL OR isnan(score) THEN json_extract(item_json, '$.score')::DOUBLE ELSE score END AS s, better FROM search_result JOIN score_list USING (score_list))
 , best AS (SELECT query_id, score_list, chunk_id, min(CASE WHEN better = 'high' THEN -s ELSE s END) AS score FROM scored WHERE s IS NOT NULL AND NOT isnan(s) GROUP BY ALL)
 , lists AS (SELECT *, row_number() OVER (PARTITION BY query_id, score_list ORDER BY score, chunk_id) AS r FROM best)
-, fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM lists GROUP BY ALL)"""
+, fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM lists GROUP BY ALL)"""
 
 
 @query(f"WITH {_LISTS} {_top_sql('fused', 20, 9, 'DESC')}")
@@ -228,7 +230,7 @@ _HYBRID = f"""{_BEST_OF.replace('LIMIT_N', '30')}
 , vecs AS (SELECT vec_id // 100 AS query_id, vec_id % 100 AS part, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 IN (0, 1) AND vec_id // 100 BETWEEN 1 AND 8)
 , near AS (SELECT query_id, part, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id, part ORDER BY list_distance(embedding::DOUBLE[], a), vec_id) AS r FROM embeddings, vecs)
 , every AS (SELECT query_id, chunk_id, r FROM lex WHERE r <= 30 UNION ALL SELECT query_id, chunk_id, r FROM near WHERE r <= 30 AND part IN (PARTS))
-, fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM every GROUP BY ALL)"""
+, fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM every GROUP BY ALL)"""
 
 
 @query(f"{_HYBRID.replace('PARTS', '0')} {_top_sql('fused', 10, 9, 'DESC')}")
@@ -686,12 +688,11 @@ def embedding_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("book_id", F.col("total").alias("chunks"), F.col("failed").alias("missing"), F.round("failed_ratio", 6).alias("failed_ratio"), "warn")
 
 
-@query("SELECT 'word' AS index_name, count(*) AS terms, sum(c)::BIGINT AS postings FROM (SELECT term, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term)".format(_fold("text")))
+@query(f"SELECT 'word' AS index_name, count(*) AS terms, sum(c)::BIGINT AS postings, sum(tf)::BIGINT AS occurrences FROM (SELECT term, count(DISTINCT doc_id) AS c, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat({_words_sql("coalesce(heading, '')")}, {_words_sql("coalesce(text, '')")})) AS term FROM documents) GROUP BY term)")
 def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of the word index over all documents."""
-    docs = _t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    counts = lexical.word_postings(docs, "chunk_id", None).groupBy("term").agg(F.count("*").alias("c"))
-    return counts.agg(F.lit("word").alias("index_name"), F.count("*").alias("terms"), F.sum("c").alias("postings"))
+    """Size of the word index over all documents, headings included."""
+    counts = lexical.word_postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("c"), F.sum("tf").alias("tf"))
+    return counts.agg(F.lit("word").alias("index_name"), F.count("*").alias("terms"), F.sum("c").alias("postings"), F.sum("tf").alias("occurrences"))
 
 
 def _trigrams_sql(e: str) -> str:

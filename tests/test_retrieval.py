@@ -186,3 +186,19 @@ def test_stored_index(spark, tmp_path):
     for limit, some in ((5, None), (50, None), (5, books)):
         stored, direct = (sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in x.collect()) for x in (index.search(d, q, limit, some), lexical.search(d, q, limit, some)))
         assert stored == direct and stored
+
+
+def test_words_of_unspaced_text_are_found(spark):
+    rows = [(1, None, "この索引はカタログの品質を説明する"), (2, None, "読書室の静かな夜"), (3, "索引", "その他"), (4, None, "quiet catalogue")]
+    df = spark.createDataFrame(rows, "chunk_id long, heading string, body string")
+    asked = spark.createDataFrame([(1, "索引の品質"), (2, "カタログ"), (3, "ない")], "query_id long, query string")
+    got = {(r["query_id"], r["chunk_id"]) for r in lexical.word_search(df, asked, 10).collect()}
+    assert got == {(1, 1), (1, 3), (2, 1)}
+
+
+def test_equal_scores_rank_by_id(spark):
+    body = "harbour lantern margin orchard reader " * 7
+    df = spark.createDataFrame([(i, None, body) for i in range(40)], "chunk_id long, heading string, body string").repartition(7)
+    asked = spark.createDataFrame([(1, "harbour lantern margin orchard reader")], "query_id long, query string")
+    for found in (lexical.word_search(df, asked, 20), lexical.trigram_search(df, asked, 20)):
+        assert [r["chunk_id"] for r in found.orderBy("rank").collect()] == list(range(20))
