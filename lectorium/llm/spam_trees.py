@@ -34,84 +34,157 @@ FEATURES = (
 _URL = r"[!#-;=?-Z\\^-~]"  # plain characters without blanks, quotes, brackets
 _LINK = re.compile(rf"<a\s[^>]{{0,400}}>|</a>|(?:h(?:tt|xx)ps?://|www\.){_URL}+(?:\[\.\]{_URL}*)*|(?<![\w@.])[A-Za-z0-9-]+(?:\.|\[\.\])[a-z]{{2,10}}(?:/{_URL}*)?(?![A-Za-z0-9.])")
 _TAG = re.compile(r"(?<!\S)[#@][^\s#]+")
-_LETTER = "(?:[^\\W_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u0dff\u0e31-\u0e4e])"  # with the marks of letters
-_WORD = re.compile(f"{_LETTER}+(?:['’-]{_LETTER}+)*")
+_LETTER_MARK = re.compile("[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u0dff\u0e31-\u0e4e]")
+_SENTENCE_SIGNS = ".!?…。！？।؟"
+
+
+def _tokens(marked: bool) -> re.Pattern[str]:
+    """Words, and what ends a piece; where the text has no marks of letters, a plainer pattern will do."""
+    letters = f"(?:[^\\W_]|{_LETTER_MARK.pattern})+" if marked else "[^\\W_]+"
+    return re.compile(rf"{letters}(?:['’-]{letters})*|[{_SENTENCE_SIGNS}]+[\"'”’»)\]」』]*")
+
+
+_TOKENS = {marked: _tokens(marked) for marked in (False, True)}
 _STOP = re.compile(r"[.!?…。！？।؟;:](?=[\"'”’»)\]」』]*(?:\s|$))|[。！？।؟]")
-_PIECE = re.compile(r"[^.!?…。！？।؟\n]*(?:[.!?…。！？।؟]+[\"'”’»)\]」』]*|\n|$)")
+_PIECE = re.compile(rf"[^{_SENTENCE_SIGNS}\n]*(?:[{_SENTENCE_SIGNS}]+[\"'”’»)\]」』]*|\n|$)")
 _ROW = re.compile(r"\.{4,}\s*\d|(?:\b[\w.]+=\S+\s*){2}|^\s*[\w.]+\s?[:=]\s?\S{1,24}\s*$|^\s*(?:\d{4}[-/.]|\d{1,2}:\d\d|\d{4}\s)|\b(?:1[5-9]|20)\d\d\.\s*$")
 #: What stands beside a product's name, in natural order.
 PRODUCT_MARKS = "sku size pack pcs new sale deal discount off free cheap buy shipping price xl xxl"
-_PRODUCT = re.compile(r"\bsku\b|\bsize\s+\w{1,3}\b|\b\d+-?pack\b|[-−]\d{1,2}\s?%|[€$£]\s?\d|\b(?:" + "|".join(PRODUCT_MARKS.split()) + r")\b", re.IGNORECASE)
+_PRODUCT = re.compile(r"\bsize\s+\w{1,3}\b|\b\d+-?pack\b|[-−]\d{1,2}\s?%|[€$£]\s?\d|\b(?:" + "|".join(PRODUCT_MARKS.split()) + r")\b")  # of small letters
+_PRODUCT_WORDS, _COMPOUND = frozenset(PRODUCT_MARKS.split()), re.compile("['’-]")
 _ARTICLE = re.compile(r"\bsku\b|\bsize\s+\w{1,3}\b|\b\d+-?pack\b", re.IGNORECASE)
-_SEPARATOR = re.compile(r"[|/+·•→]|[,;](?=\s)|\s-\s")
+_SEPARATORS = tuple(map(re.compile, (r"[|/+·•→]", r"[,;](?=\s)", r"\s-\s")))  # each by itself starts with few characters, which is much faster
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣฀-๿]")
 
 
+#: What every link, and every row, has something of; searching for that first spares most texts the full patterns.
+_MAYBE_LINK = re.compile(r"\.[a-z]{2}|\[\.\]|</?a[\s>]|://|www\.")
+_MARK = re.compile("[^\x00-\u2fff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff00-\uffef]")
+_STOP_SIGNS = frozenset(".!?…。！？।؟;:")
+
+
+def _solid(text: str) -> int:
+    """Number of characters other than blanks."""
+    return sum(map(len, text.split()))
+
+
+def _maybe_row(line: str) -> bool:
+    end = line.rstrip()
+    return "=" in line or ":" in line or "...." in line or line.lstrip()[:1].isdigit() or end[-1:] == "." and end[-2:-1].isdigit()
+
+
+def _may_sell(text: str, words: Counter[str]) -> bool:
+    """Whether a text without marks of letters has anything that stands beside a product's name."""
+    if not _PRODUCT_WORDS.isdisjoint(words) or any(c in text for c in "%€$£") or "pack" in text.lower():
+        return True
+    return not _PRODUCT_WORDS.isdisjoint(part for w in words if not w.isalnum() for part in _COMPOUND.split(w))
+
+
+def _pieces(tokens: list[str]) -> list[list[str]]:
+    """The words of each piece of a line, of the matches of _TOKEN; one more than there are signs that end one."""
+    made: list[list[str]] = []
+    start = 0
+    for i, t in enumerate(tokens):
+        if t[0] in _SENTENCE_SIGNS:
+            made.append(tokens[start:i])
+            start = i + 1
+    made.append(tokens[start:])
+    return made
+
+
+def _ended(piece: str) -> bool:
+    end = piece.rstrip()[-4:]
+    return end[-1:] in _STOP_SIGNS and end != "" or _STOP.search(end) is not None
+
+
 def features(text: str) -> list[float]:
-    """The features of one text; shares are of its characters other than blanks."""
-    solid = max(1, len(re.sub(r"\s", "", text)))
-    links = [m.group() for m in _LINK.finditer(text)]
-    rest = _LINK.sub(" ", text)
-    tags = _TAG.findall(rest)
-    bare = _TAG.sub(" ", rest)
-    words = _WORD.findall(bare.lower())
+    """The features of one text; shares are of its characters other than blanks.
+
+    Words are counted once for the whole text; a line that stands there several times is looked at once.
+    """
+    solid = max(1, _solid(text))
+    links = _LINK.findall(text) if _MAYBE_LINK.search(text) else []
+    rest = _LINK.sub(" ", text) if links else text
+    tagged = "#" in text or "@" in text
+    tags = _TAG.findall(rest) if tagged else []
+    bare = _TAG.sub(" ", rest) if tags else rest
+    marked = _LETTER_MARK.search(text) is not None
+    token = _TOKENS[marked]
+    lines = text.split("\n")
+    seen: dict[str, tuple[str, str, list[list[str]]]] = {}
+    words: list[str] = []
+    for line in lines:
+        if line not in seen:
+            plain = _LINK.sub(" ", line) if links else line
+            plain = _TAG.sub(" ", plain) if tags else plain
+            low = plain.lower()
+            seen[line] = plain, low, _pieces(token.findall(low))
+        for piece_words in seen[line][2]:
+            words += piece_words
     n = max(1, len(words))
     counts = Counter(words)
     pairs = Counter(zip(words, words[1:]))
-    repeated = sum(c for c in pairs.values() if c > 2)
-    triples = Counter(zip(words, words[1:], words[2:]))
-    top_triple = max(triples.values(), default=0)
-    top_triple = min(1.0, 3 * top_triple / n) if top_triple > 2 else 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(n) if n > 1 else 1.0
+    often = {p for p, c in pairs.items() if c > 2}
+    repeated = sum(map(pairs.__getitem__, often))
+    top_triple = 0.0
+    if often:  # a triple is no more frequent than its pairs
+        most = max(Counter(zip(words, words[1:], words[2:])).values(), default=0)
+        top_triple = min(1.0, 3 * most / n) if most > 2 else 0.0
+    several = {w for w, c in counts.items() if c > 1}
+    entropy = 1.0 - sum(k * c * math.log2(c) for c, k in Counter(counts.values()).items()) / (n * math.log2(n)) if n > 1 else 1.0
+    plain_script = text.isascii()
+    thai, cjk = (False, False) if plain_script else (_THAI.search(text), _CJK.search(text))
+    products = marked or _may_sell(text, counts)
 
-    sentence = repeat = keyword = row = product = line_links = marks = stated = 0
-    lines = text.split("\n")
-    for line in lines:
-        size = len(re.sub(r"\s", "", line))
+    sentence = repeat = keyword = row = product = line_links = stated = tag_lines = 0
+    for line, times in Counter(lines).items():
+        size = _solid(line)
         if not size:
             continue
-        own = _LINK.findall(line)
-        line_links += size if own and sum(map(len, own)) * 3 > size else 0
-        plain = _TAG.sub(" ", _LINK.sub(" ", line))
-        if _ROW.search(plain):
-            row += len(re.sub(r"\s", "", plain))
-            continue
-        found = len(_PRODUCT.findall(plain))
-        told = len(_WORD.findall(plain)) >= 5 and _STOP.search(plain.rstrip()[-4:]) and not _ARTICLE.search(plain)  # a sentence with prices
-        if found and found * 7 >= len(_WORD.findall(plain)) and not told:
-            product += len(re.sub(r"\s", "", plain))
+        plain, low, word_groups = seen[line]
+        if links and (own := _LINK.findall(line)):
+            line_links += times * size if sum(map(len, own)) * 3 > size else 0
+        if tagged:
+            tag_lines += times * len(line) if len(_TAG.findall(line)) > 2 else 0
+        if _maybe_row(plain) and _ROW.search(plain):
+            row += times * _solid(plain)
             continue
-        for m in _PIECE.finditer(plain):
-            piece = m.group()
-            solid_piece = len(re.sub(r"\s", "", piece))
+        if products and (found := len(_PRODUCT.findall(low))):
+            own_words = sum(map(len, word_groups))
+            told = own_words >= 5 and _STOP.search(plain.rstrip()[-4:]) and not _ARTICLE.search(plain)  # a sentence with prices
+            if found * 7 >= own_words and not told:
+                product += times * _solid(plain)
+                continue
+        for piece, ws in zip(_PIECE.findall(plain), word_groups):
+            solid_piece = _solid(piece)
             if not solid_piece:
                 continue
-            ws = _WORD.findall(piece.lower())
-            ended = piece.rstrip()[-1:] not in "" and _STOP.search(piece.rstrip()[-4:]) is not None
-            if _THAI.search(piece):  # no stops: each blank may end a sentence
-                good, ended = solid_piece >= 18 and len(set(ws)) >= 0.7 * len(ws), True
-            elif _CJK.search(piece):
+            m = len(ws)
+            ended = _ended(piece)
+            if thai and _THAI.search(piece):  # no stops: each blank may end a sentence
+                good, ended = solid_piece >= 18 and len(set(ws)) >= 0.7 * m, True
+            elif not ended:
+                good = False
+            elif cjk and _CJK.search(piece):
                 good = solid_piece >= 6
             else:
-                good = len(ws) >= 3 and len(set(ws)) >= 0.55 * len(ws) and sum(map(len, ws)) >= 2.5 * len(ws)
-            twice = sum(pairs[p] > 2 for p in zip(ws, ws[1:]))
-            known = sum(counts[w] > 1 for w in ws)
-            if ws and known >= 0.7 * len(ws) and (not ended or twice >= 0.4 * len(ws)):
-                keyword += solid_piece
-            if good and ended:
-                sentence += solid_piece
-                stated += 1
-            elif ws and len(ws) > 1 and twice >= 0.5 * (len(ws) - 1) or len(ws) == 1 and counts[ws[0]] > 3:
-                repeat += solid_piece
-    for c in text:
-        if ord(c) > 0x2FFF and not (0x3040 <= ord(c) <= 0x30FF or 0x3400 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7A3 or 0xFF00 <= ord(c) <= 0xFFEF):
-            marks += 1
+                good = m >= 3 and len(set(ws)) >= 0.55 * m and sum(map(len, ws)) >= 2.5 * m
+            twice = sum(map(often.__contains__, zip(ws, ws[1:]))) if often and m > 1 else 0
+            if ws and (not ended or twice >= 0.4 * m) and sum(map(several.__contains__, ws)) >= 0.7 * m:
+                keyword += times * solid_piece
+            if good:
+                sentence += times * solid_piece
+                stated += times
+            elif m > 1 and twice >= 0.5 * (m - 1) or m == 1 and counts[ws[0]] > 3:
+                repeat += times * solid_piece
+    link_chars, tag_chars = sum(map(len, links)), sum(map(len, tags))
+    marks = 0 if plain_script else len(_MARK.findall(text))
     return [
-        math.log1p(solid), sum(map(len, links)) / solid, sum(map(len, tags)) / solid, sum(len(x) for x in lines if len(_TAG.findall(x)) > 2) / max(1, len(text)),
+        math.log1p(solid), link_chars / solid, tag_chars / solid, tag_lines / max(1, len(text)),
         sentence / solid, repeat / solid, row / solid, product / solid, len(counts) / n, max(counts.values(), default=0) / n, repeated / n, top_triple, keyword / solid,
-        sentence / max(1, solid - sum(map(len, links)) - sum(map(len, tags))), len(links) / (1 + stated), entropy,
-        sum(map(len, words)) / n, len(_STOP.findall(bare)) / n, len(_SEPARATOR.findall(bare)) / n, sum(map(text.count, "0123456789")) / solid, len(links) / (n + len(links)),
+        sentence / max(1, solid - link_chars - tag_chars), len(links) / (1 + stated), entropy,
+        sum(map(len, words)) / n, len(_STOP.findall(bare)) / n, sum(len(sign.findall(bare)) for sign in _SEPARATORS) / n, sum(map(text.count, "0123456789")) / solid, len(links) / (n + len(links)),
         line_links / solid, marks / solid,
     ]
 
