@@ -139,11 +139,11 @@ def features(text: str) -> list[float]:
 
     sentence = repeat = keyword = row = product = line_links = stated = tag_lines = 0
     for line, times in Counter(lines).items():
-        size = _solid(line)
-        if not size:
+        if not line or line.isspace():
             continue
         plain, low, word_groups = seen[line]
         if links and (own := _LINK.findall(line)):
+            size = _solid(line)
             line_links += times * size if sum(map(len, own)) * 3 > size else 0
         if tagged:
             tag_lines += times * len(line) if len(_TAG.findall(line)) > 2 else 0
@@ -156,12 +156,11 @@ def features(text: str) -> list[float]:
             if found * 7 >= own_words and not told:
                 product += times * _solid(plain)
                 continue
-        for piece, ws in zip(_PIECE.findall(plain), word_groups):
-            solid_piece = _solid(piece)
-            if not solid_piece:
+        for piece, ws in zip(_PIECE.findall(plain) if len(word_groups) > 1 else (plain,), word_groups):
+            if not (parts := piece.split()):
                 continue
-            m = len(ws)
-            ended = _ended(piece)
+            solid_piece, m = sum(map(len, parts)), len(ws)
+            ended = piece[-1] in _STOP_SIGNS or _ended(piece)
             if thai and _THAI.search(piece):  # no stops: each blank may end a sentence
                 good, ended = solid_piece >= 18 and len(set(ws)) >= 0.7 * m, True
             elif not ended:
@@ -170,6 +169,10 @@ def features(text: str) -> list[float]:
                 good = solid_piece >= 6
             else:
                 good = m >= 3 and len(set(ws)) >= 0.55 * m and sum(map(len, ws)) >= 2.5 * m
+            if good and not often:
+                sentence += times * solid_piece
+                stated += times
+                continue
             twice = sum(map(often.__contains__, zip(ws, ws[1:]))) if often and m > 1 else 0
             if ws and (not ended or twice >= 0.4 * m) and sum(map(several.__contains__, ws)) >= 0.7 * m:
                 keyword += times * solid_piece
