@@ -10,6 +10,7 @@ the restored forms of suspect tokens are joined with.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
@@ -57,8 +58,8 @@ def chains() -> list[Chain]:
 
 
 @lru_cache(maxsize=None)
-def _byte_chars(codec: str) -> tuple[str, dict[int, int]] | None:
-    """For a single-byte codec, its 256 characters, undefined bytes standing for themselves, and the inverse."""
+def _byte_chars(codec: str) -> tuple[str, object] | None:
+    """For a single-byte codec, its 256 characters, undefined bytes standing for themselves, and the map back."""
     if codec in ("utf-8", "cp932", "euc_jp", "gbk", "big5", "euc_kr"):
         return None
     chars = []
@@ -67,21 +68,21 @@ def _byte_chars(codec: str) -> tuple[str, dict[int, int]] | None:
             chars.append(bytes([b]).decode(codec))
         except UnicodeDecodeError:
             chars.append(chr(b))
-    return "".join(chars), {ord(c): b for b, c in enumerate(chars)}
+    return "".join(chars), codecs.charmap_build("".join(chars))
 
 
 def decode_loosely(raw: bytes, codec: str) -> str:
     """How a careless program reads `raw`: undefined bytes pass, broken sequences become replacement characters."""
     known = _byte_chars(codec)
-    return "".join(map(known[0].__getitem__, raw)) if known else raw.decode(codec, "replace")
+    return codecs.charmap_decode(raw, "strict", known[0])[0] if known else raw.decode(codec, "replace")
 
 
 def encode_exactly(text: str, codec: str) -> bytes | None:
     """The bytes that were read as `text`; None if there are none."""
     known = _byte_chars(codec)
     try:
-        return bytes(map(known[1].__getitem__, map(ord, text))) if known else text.encode(codec)
-    except (KeyError, UnicodeEncodeError):
+        return codecs.charmap_encode(text, "strict", known[1])[0] if known else text.encode(codec)
+    except UnicodeEncodeError:
         return None
 
 
@@ -130,7 +131,7 @@ def restore(text: str, chain: Chain) -> tuple[str, bool] | None:
                     raw = _whole_sequences(raw, last > 0, start < len(text))
                 known = _byte_chars(right)
                 try:
-                    pieces.append("".join(map(known[0].__getitem__, raw)) if known else raw.decode(right))
+                    pieces.append(codecs.charmap_decode(raw, "strict", known[0])[0] if known else raw.decode(right))
                 except UnicodeDecodeError:
                     return None
             if end > start:
@@ -159,8 +160,11 @@ class Model:
     words: frozenset[str] = frozenset()
     prior: float = 4.0
 
+    def __post_init__(self) -> None:
+        self.by_bigram = np.ascontiguousarray(self.logs.T)
+
     def scores(self, text: str) -> np.ndarray:
-        found = self.logs[:, bigrams(text)].sum(axis=1)
+        found = self.by_bigram[bigrams(text)].sum(axis=0)
         found[0] += self.prior
         return found
 
@@ -205,7 +209,7 @@ def train(texts: list[str], rows: int = ROWS_PER_CHAIN) -> Model:
         odd = re.search(r"[^\x00-ɏ -⁯]", text)
         by_script.setdefault(f"{ord(odd.group()) >> 8:x}" if odd else "", []).append(text)
     turns = [text for i in range(max(map(len, by_script.values()), default=0)) for own in by_script.values() for text in own[i : i + 1]]
-    classes = chains()
+    classes = [*chains(), *((step,) for step in WESTERN)]
     first = _fit(turns, classes, max(20, rows // 8))
     kept = [t for t in turns if not find(t, first, western=False)[0]]
     return _fit(kept or turns, classes, rows)
@@ -221,7 +225,7 @@ def _token(token: str, model: Model) -> tuple[Chain | None, str, float, bool]:
     odd, varied = len(found), len(set(found))
     if odd < 2 or token.count("�") == odd:
         return None, token, 0.0, False
-    scores = model.scores(token)
+    scores = model.scores(token)[: -len(WESTERN)]  # Western chains change too little of a token to be told by it alone
     order = np.argsort(-scores)[:8]
     if order[0] == 0 and scores[0] - scores[order[1]] > 2.0 * odd:
         return None, token, 0.0, False
@@ -254,7 +258,8 @@ def _token(token: str, model: Model) -> tuple[Chain | None, str, float, bool]:
 
 
 def _western(lines: list[str], model: Model, known: dict, words: Collection[str] | None) -> tuple[list[str], float, Chain | None, set[str]]:
-    """(lines put right, gain, chain, words asked for) for the one Western chain that makes the text's lines likeliest.
+    """(lines put right, gain, chain, words asked for) for a Western chain: of the two that the classifier names for
+    the text's words (some share most of their characters), the one that makes its lines likelier.
 
     Only tokens whose restored words are all in `words` speak for a chain; None takes every word for known, which
     gives the largest gain that the text can have.
@@ -262,7 +267,13 @@ def _western(lines: list[str], model: Model, known: dict, words: Collection[str]
     best: tuple[float, Chain | None, dict[int, str]] = (0.0, None, {})
     asked: set[str] = set()
     odd_lines = [(n, [t for t in line.split(" ") if not t.isascii()]) for n, line in enumerate(lines) if not line.isascii()]
-    for step in WESTERN:
+    scores = np.zeros(len(model.classes) + 1)
+    for t in (t for _, tokens in odd_lines for t in tokens):
+        own = known.get(("scores", t))
+        if own is None:  # tokens that no chain gains anything on say nothing
+            own = known["scores", t] = model.scores(t) if any(_western_token(t, step, model)[1] > 0 for step in WESTERN) else np.zeros(len(scores))
+        scores += own
+    for step in (WESTERN[k] for k in np.argsort(-scores[-len(WESTERN) :], kind="stable")[:2]):
         total, made = 0.0, {}
         for n, tokens in odd_lines:
             gain, worst, to = 0.0, 0.0, {}
@@ -287,6 +298,20 @@ def _western(lines: list[str], model: Model, known: dict, words: Collection[str]
     return [made.get(n, line) for n, line in enumerate(lines)], total, chain, asked
 
 
+def western_bound(text: str, model: Model, known: dict) -> float:
+    """No Western chain gains more on the text: the sum of its tokens' largest gains."""
+    total = 0.0
+    for token in text.replace("\n", " ").split(" "):
+        if not token.isascii():
+            most = known.get(token)
+            if most is None:
+                if len(known) > WORDS_IN_MIND:
+                    known.clear()
+                most = known[token] = max(0.0, *(_western_token(token, step, model)[1] for step in WESTERN))
+            total += most
+    return total
+
+
 def _western_token(token: str, step: tuple[str, str], model: Model) -> tuple[str, float]:
     """(restored token, gain if its words are known)."""
     got = restore(token, (step,)) if "\ufffd" not in token else None
@@ -381,7 +406,7 @@ def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows found by other chains; of the rest those that a Western chain may have made, as suspects with the words to be known; new words."""
-        model, known, seen = Model(*shared.value), {}, set()
+        model, known, bounds, seen = Model(*shared.value), {}, {}, set()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out, words = [], set()
@@ -391,7 +416,7 @@ def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text"
                     out.append((i, got[3], got[1], got[2], None, None))
                     continue
                 words.update(_LETTERS.findall(t.lower()))
-                if t.isascii():
+                if t.isascii() or western_bound(t, model, bounds) < PAGE_GAIN:
                     continue
                 _, gain, _, asked = _western(t.split("\n"), model, known, None)
                 if gain >= PAGE_GAIN:
