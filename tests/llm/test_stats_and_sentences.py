@@ -121,3 +121,21 @@ def test_sentences_lose_nothing(spark):
             at = r["sentence_end"]
         assert not (text or "")[at:].strip()
     assert SE.sentences(df.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_as_short_ones(spark):
+    """Blank lines, groups of many sentences and brackets of any length; the sentences make up the text."""
+    inside = "word. Other word! " * 400
+    texts = [
+        "One is here. " * 700 + "\n\n" + "Two is there. " * 900 + "\n \n\nThree (" + inside + "end) goes on. Four.", f"{inside}) as it began. Then more.", "「" + "文。" * 800 + "」と言った。次。", "文。" * 700 + "」と言った。次。",
+        "a" * 20_000, " \n\n \n", "Ends here.\n\n\n\n", "\n\n😀 One. 😀 Two.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, body string")
+    got = {}
+    for r in SE.sentences(df).orderBy("chunk_id", "sentence_no").collect():
+        got.setdefault(r["chunk_id"], []).append(r)
+    for i, rows in got.items():
+        assert [r["sentence_no"] for r in rows] == list(range(len(rows)))
+        assert all(texts[i][r["sentence_start"] : r["sentence_end"]] == r["sentence"] for r in rows)
+        assert texts[i].split() == " ".join(r["sentence"] for r in rows).split() or i in (2, 3)
+    assert {i: len(rows) for i, rows in got.items()} == {0: 700 + 900 + 2, 1: 2, 2: 2, 3: 2, 4: 1, 6: 1, 7: 2}
