@@ -31,6 +31,8 @@ LOOKALIKES = {
 SAME_MARKS = {"‐": "-", "‑": "-", "­": "", "․": ".", "ʼ": "’", "∕": "/", "⁄": "/", "∶": ":", "꞉": ":"}
 #: Invisible characters that join letters; they are kept where they shape the script.
 JOINERS = "‌‍"
+#: Ids of one class that are gathered in a list, and the number of classes that may be too large for one part.
+LIST, CLASSES = 1_000, 2_000
 _KINDS = ("<wide>", "<narrow>", "<noBreak>")
 
 
@@ -250,9 +252,11 @@ def normalised(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def same_look_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts look the same but aren't equal character by character.
 
-    Only keys of which there are several different texts go on, so large groups of exact copies form no pairs
-    among themselves; texts are compared by 128-bit digests of text and look, both of which are shuffled in
-    place of the texts. Null and empty texts, null ids and repeated rows give no pair.
+    Equal texts are one class of a look. Classes are paired first, so exact copies form no pairs among themselves
+    however many there are; then each class is expanded to its members, those of the smaller one gathered in lists
+    of about LIST ids, those of a class above a share of 1 / CLASSES of all rows spread over as many parts as it
+    has such shares. Texts are compared by 128-bit digests of text and look, which are shuffled in place of the
+    texts. Null and empty texts, null ids and repeated rows give no pair.
     """
     bound_batches(df.sparkSession)
 
@@ -264,8 +268,24 @@ def same_look_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFram
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text <> ''")
     keyed = checkpointed(rows.withColumn("own", F.md5("text")).mapInArrow(run, f"id {kind}, own string, look string").select("id", "own", F.md5("look").alias("look")).distinct())
-    texts = keyed.groupBy("look", "own").count()
-    several = texts.groupBy("look").agg(F.count("own").alias("texts")).where("texts > 1").select("look")
-    rest = keyed.join(several, "look", "left_semi")
-    a, b = rest.alias("a"), rest.alias("b")
-    return a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.own") != F.col("b.own"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    classes = checkpointed(keyed.groupBy("look", "own").agg(F.count("*").alias("n")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    share = max(LIST, -(-total // CLASSES))  # a class above it is spread: at most CLASSES of them are broadcast
+    large = F.broadcast(classes.where(F.col("n") > share).select("own", F.ceil(F.col("n") / share).cast("int").alias("parts")))
+    several = classes.groupBy("look").agg(F.count("*").alias("classes")).where("classes > 1").select("look")
+    paired = classes.join(several, "look", "left_semi")
+    a, b = paired.alias("a"), paired.alias("b")
+    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & ((F.col("a.n") > F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.own") > F.col("b.own"))))
+    pairs = checkpointed(pairs.select(F.col("a.own").alias("more"), F.col("b.own").alias("fewer"), F.ceil(F.col("b.n") / LIST).alias("slots")))
+
+    def parted(members: DataFrame) -> DataFrame:
+        """With the part of its class that each row falls into."""
+        return members.join(large, "own", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+
+    members = parted(keyed.select("id", "own"))
+    asked = pairs.select(F.col("fewer").alias("own"), "slots").distinct()
+    lists = members.join(asked, "own").groupBy("own", "part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slots")).alias("slot")).agg(F.collect_list("id").alias("ids"))  # about LIST ids
+    wanted = pairs.join(lists.select(F.col("own").alias("fewer"), "ids"), "fewer").join(large.withColumnRenamed("own", "more"), "more", "left")
+    wanted = wanted.select(F.col("more").alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "ids")
+    made = members.join(wanted, ["own", "part"]).select("id", F.explode("ids").alias("other")).where("id <> other")
+    return made.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))

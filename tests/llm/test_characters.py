@@ -120,3 +120,13 @@ def test_tables_of_long_texts_only(spark):
     pieces = M.sample(df, "page_id", "text")
     assert len(pieces) == 21 and all(len(t) == M.SAMPLE_CHARACTERS for t in pieces)
     assert [r["page_id"] for r in M.garbled(df).collect()] == [100]
+
+
+def test_many_copies_pair_with_their_variants_only(spark, monkeypatch):
+    monkeypatch.setattr(L, "LIST", 7)
+    rows = [(i, "Harbour title") for i in range(300)] + [(1000 + i, "Harbour title") for i in range(20)] + [(2000, "Ｈarbour title"), (3000, "Other")]
+    df = spark.createDataFrame(rows, "book_id long, title string")
+    got = [tuple(r) for r in L.same_look_pairs(df, "book_id", "title").collect()]
+    text = dict(rows)
+    assert len(got) == len(set(got)) == 300 * 21 + 20
+    assert all(a < b and text[a] != text[b] for a, b in got)
