@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lectorium.llm.common import checkpointed
 
-#: Parts into which the items of each length are split to be ranked, so that no length is ranked by one task alone.
-RANK_PARTS = 64
+#: Items of one length that a part should hold when they are ranked, so that no length is ranked by one task alone.
+RANKED = 50_000
 
 
 def place(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
@@ -75,15 +75,21 @@ def pack(sizes: DataFrame, capacity: int, id_column: str = "doc_id", size_column
     empty = items.where("whole <= 0").select("id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("pack_id"), F.lit(0).cast("bigint").alias("pack_offset"))
     pieces = items.where("whole > 0").select(
         "id", F.posexplode(F.expr(f"transform(sequence(0L, (whole - 1) div {capacity}), i -> least({capacity}L, whole - i * {capacity}L))")).alias("piece", "size"),
-    ).withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_PARTS)))
-    counts = pieces.groupBy("size", "part").count()
-    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
+    )
+    histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # at most `capacity` rows
+    # as many parts of each length as its number of items asks for: few lengths have more than one
+    several = [F.struct(F.lit(n).alias("size"), F.lit(-(-count // RANKED)).alias("parts")) for n, count in sorted(histogram.items()) if count > RANKED]
+    parts = F.element_at(F.map_from_entries(F.array(*several)), F.col("size")) if several else F.lit(None).cast("int")
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.coalesce(parts, F.lit(1)).cast("bigint")))
     slots = place(histogram, capacity)
 
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))  # at most capacity x RANK_PARTS rows
+    starts = pieces.groupBy("size", "part").count().select("size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")) if several else None
     within = Window.partitionBy("size", "part").orderBy("id", "piece")
-    ranked = pieces.withColumn("at", F.row_number().over(within) - 1).join(F.broadcast(starts), ["size", "part"]).select("id", "piece", "size", (F.col("start") + F.col("at")).alias("rank"))
+    ranked = pieces.withColumn("at", F.row_number().over(within) - 1)
+    if several:  # a row for each length and part: fewer than `capacity` and one for each RANKED items
+        ranked = ranked.join(starts, ["size", "part"])
+    ranked = ranked.select("id", "piece", "size", (F.col("start") + F.col("at") if several else F.col("at").cast("bigint")).alias("rank"))
     shared = sizes.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
