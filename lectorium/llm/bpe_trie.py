@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, vocabulary_path
+from lectorium.llm.common import in_parts, local_file, shared_file, vocabulary_path
 
 #: Fixed value: the word pattern that belongs to the byte_bpe_50k vocabulary.
 WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -153,12 +153,12 @@ _encoders: dict[str, TrieEncoder] = {}
 def encoder(path: str) -> TrieEncoder:
     """One encoder for each vocabulary and Python worker."""
     if path not in _encoders:
-        _encoders[path] = TrieEncoder(load_ranks(path))
+        _encoders[path] = TrieEncoder(load_ranks(local_file(path)))
     return _encoders[path]
 
 
 def _each_batch(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[tuple[pa.RecordBatch, list[list[int]]]]:
-    for batch in batches:
+    for batch in in_parts(batches):
         yield batch, encoder(path).encode_texts(batch.column(column).to_pylist())
 
 
@@ -169,8 +169,7 @@ def encode_corpus(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     give an empty list; a null id keeps its row; repeated rows repeat their result; an empty table gives none.
     Other columns of the input are ignored.
     """
-    path = path or vocabulary_path("byte_bpe_50k.tiktoken")
-    bound_batches(df.sparkSession)
+    path = shared_file(df.sparkSession, path or vocabulary_path("byte_bpe_50k.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids in _each_batch(batches, path, "text"):
@@ -186,8 +185,7 @@ def encode_corpus(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
     """(id, tokens) with the number of tokens of each text; null and empty texts have 0."""
-    path = path or vocabulary_path("byte_bpe_50k.tiktoken")
-    bound_batches(df.sparkSession)
+    path = shared_file(df.sparkSession, path or vocabulary_path("byte_bpe_50k.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids in _each_batch(batches, path, "text"):

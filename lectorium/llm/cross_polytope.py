@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, checkpointed
+from lectorium.llm.common import checkpointed, in_parts
 
 #: Vectors of one side in one comparison; larger buckets are compared block by block.
 BLOCK = 2_000
@@ -103,12 +103,11 @@ def _entries(vectors: DataFrame, hashing: Hashing, kind: str) -> DataFrame:
 
     `small` holds the vector's components in steps of 1/127 as bytes.
     """
-    bound_batches(vectors.sparkSession, 4_000)
     shared = vectors.sparkSession.sparkContext.broadcast(hashing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = shared.value
-        for batch in batches:
+        for batch in in_parts(batches, 4_000):
             if not batch.num_rows:
                 continue
             unit = _matrix(batch.column("vec"), hashing.dimension)
@@ -320,7 +319,6 @@ def nearest(df: DataFrame, id_column: str, vector_column: str, queries: DataFram
     asked = vectors.join(queries.toDF("id").distinct(), "id", "left_semi").toDF("asking", "question")
     hashing = Hashing(dimension, tables, axes, probes)
     shared = df.sparkSession.sparkContext.broadcast(hashing)
-    bound_batches(df.sparkSession, 4_000)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     parts = max(-(-vectors.count() // QUERY_BLOCK), -(-df.sparkSession.sparkContext.defaultParallelism // blocks))
     left = asked.select("asking", "question", F.pmod(F.xxhash64("asking"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

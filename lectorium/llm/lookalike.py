@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, checkpointed
+from lectorium.llm.common import checkpointed, in_parts
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -236,10 +236,9 @@ def normalised(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     Null texts have null form and key; empty texts have an empty form. Rows are neither dropped nor joined.
     """
-    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column("text").to_pylist()
             forms = [None if t is None else consistent(t) for t in texts]
             looks = [None if t is None else skeleton(t) for t in texts]
@@ -258,10 +257,9 @@ def same_look_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFram
     has such shares. Texts are compared by 128-bit digests of text and look, which are shuffled in place of the
     texts. Null and empty texts, null ids and repeated rows give no pair.
     """
-    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             looks = [None if t is None else skeleton(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(looks, pa.string())], ["id", "own", "look"])
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, bounded_sample, checkpointed
+from lectorium.llm.common import bounded_sample, checkpointed, in_parts
 
 #: Rows of the training sample: a documented bound; rows are chosen by their hashes.
 SAMPLE_ROWS = 3_000
@@ -401,14 +401,13 @@ def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text"
     none. `restored` keeps what can't be restored as it is; `complete` says that all of it was restored.
     """
     model = train(sample(df, id_column, text_column, rows))
-    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.logs, model.classes))  # about 130 classes x BUCKETS x 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows found by other chains; of the rest those that a Western chain may have made, as suspects with the words to be known; new words."""
         model, known, bounds, seen = Model(*shared.value), {}, {}, set()
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in in_parts(batches):
             out, words = [], set()
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 got = find(t, model, known, western=False)
@@ -432,7 +431,7 @@ def garbled(df: DataFrame, id_column: str = "page_id", text_column: str = "text"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(*shared.value), {}
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [(i, *find_western(t, model, known, frozenset(words or ()))) for i, t, words in zip(*(batch.column(c).to_pylist() for c in ("id", "restored", "words")))]
             rows = [r for r in rows if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field("id").type), pa.array([r[4] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())], ["id", "chain", "restored", "complete"])

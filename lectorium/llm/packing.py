@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import checkpointed
+from lectorium.llm.common import checkpointed, in_parts
 
 #: Items of one length that a part should hold when they are ranked, so that no length is ranked by one task alone.
 RANKED = 50_000
@@ -94,7 +94,7 @@ def pack(sizes: DataFrame, capacity: int, id_column: str = "doc_id", size_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
-        for batch in batches:
+        for batch in in_parts(batches):
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "rank"))
             pack_id, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for n in np.unique(length):

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches, bounded_sample, checkpointed
+from lectorium.llm.common import bounded_sample, checkpointed, in_parts
 
 #: Weakly labelled rows of either label that the trees see at most: a documented bound; rows are chosen by their hashes.
 TRAINING_ROWS = 8_000
@@ -218,10 +218,9 @@ def weak_label() -> Column:
 
 def page_features(df: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
     """(id, host, FEATURES...) of each text that isn't null or blank."""
-    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             made = [features(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([m[i] for m in made], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), *columns], ["id", "host", *FEATURES])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectorium.llm.common import bound_batches
+from lectorium.llm.common import in_parts
 
 SEGMENT = 32_768
 FAN_IN = 32
@@ -280,7 +280,6 @@ def text_statistics(df: DataFrame, keys: list[str], text_column: str) -> DataFra
     repeated rows repeat it, but rows above SEGMENT characters with equal keys are taken for one. Words are runs of letters
     and digits; in scripts without blanks a run is one word. Other columns of `df` are ignored.
     """
-    bound_batches(df.sparkSession)
     rows = df.select(*keys, F.col(text_column).cast("string").alias("_text"))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     fields = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -293,11 +292,11 @@ def text_statistics(df: DataFrame, keys: list[str], text_column: str) -> DataFra
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], [*keys, *fields])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             yield finished(batch, [False if t is None else state_of(t) for t in batch.column("_text").to_pylist()])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             states = [pickle.dumps(state_of(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("_at"), pa.array(states, pa.binary())], [*keys, "_at", "_state"])
 
@@ -308,12 +307,12 @@ def text_statistics(df: DataFrame, keys: list[str], text_column: str) -> DataFra
         return state
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             states = [pickle.dumps(folded(p)) for p in batch.column("_parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("_at"), pa.array(states, pa.binary())], [*keys, "_at", "_state"])
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             yield finished(batch, [folded(p) for p in batch.column("_parts").to_pylist()])
 
     short = rows.where(F.col("_text").isNull() | (F.length("_text") <= SEGMENT)).mapInArrow(whole, f"{kinds}, {COLUMNS}")
