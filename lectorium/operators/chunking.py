@@ -51,22 +51,39 @@ def chapter_pages(page: DataFrame, chapter: DataFrame) -> DataFrame:
     return page.join(each, ["book_id", "page_num"])
 
 
-def force_split(text: Column, size: int) -> Column:
-    """A long paragraph cut after Japanese sentence ends and line breaks, packed up to `size`; uncuttable text stays whole."""
-    pieces = F.split(text, "(?<=[。？！\n])")
-    start = F.struct(F.lit("").alias("now"), F.array().cast(_TEXT).alias("done"))
+#: Pieces that are packed at a time, so that lists which grow by a copy stay short.
+_AT_ONCE = 256
+
+
+def _ranges(pieces: Column, size: int) -> Column:
+    """Array of (first, count) of the groups of neighbouring pieces, packed up to `size` characters; a larger piece is a group of its own.
+
+    Only lengths are folded, block by block of pieces, so the work grows with the number of pieces.
+    """
+    state = "struct<length:int,at:int,firsts:array<int>>"
+    none = F.array().cast("array<int>")
+    lengths = F.transform(pieces, lambda p: F.length(p))
+    blocks = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _AT_ONCE).cast("int")), lambda b: F.slice(lengths, b * _AT_ONCE + 1, F.lit(_AT_ONCE)))).otherwise(F.array().cast("array<array<int>>"))
 
-    def add(state: Column, piece: Column) -> Column:
-        full = (F.length(state["now"]) + F.length(piece) > size) & (state["now"] != "")
-        return F.when(full, F.struct(piece.alias("now"), F.concat(state["done"], F.array(strip(state["now"]))).alias("done"))).otherwise(F.struct(F.concat(state["now"], piece).alias("now"), state["done"].alias("done")))
+    def add(s: Column, length: Column) -> Column:
+        opens = (s["at"] == 0) | (s["length"] > 0) & (s["length"] + length > size)
+        firsts = F.when(opens, F.concat(s["firsts"], F.array(s["at"]))).otherwise(s["firsts"])
+        return F.struct(F.when(opens, length).otherwise(s["length"] + length).alias("length"), (s["at"] + 1).alias("at"), firsts.alias("firsts")).cast(state)
 
-    def finish(state: Column) -> Column:
-        rest = strip(state["now"])
-        parts = F.when(rest != "", F.concat(state["done"], F.array(rest))).otherwise(state["done"])
-        return parts
+    def add_block(s: Column, block: Column) -> Column:
+        own = F.aggregate(block, F.struct(s["length"].alias("length"), s["at"].alias("at"), none.alias("firsts")).cast(state), add)
+        # bound by a lambda, as else it would be worked out for each use
+        return F.transform(F.array(own), lambda x: F.struct(x["length"].alias("length"), x["at"].alias("at"), F.concat(s["firsts"], x["firsts"]).alias("firsts")))[0].cast(state)
 
-    parts = F.aggregate(pieces, start, add, finish)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    firsts = F.aggregate(blocks, F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), none.alias("firsts")).cast(state), add_block)["firsts"]
+    return F.flatten(F.transform(F.filter(F.array(firsts), lambda f: F.size(f) > 0), lambda f: F.zip_with(f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(pieces))), lambda first, after: F.struct(first.alias("first"), (after - first).alias("count")))))
+
+
+def force_split(text: Column, size: int) -> Column:
+    """A long paragraph cut after Japanese sentence ends and line breaks, packed up to `size`; uncuttable text stays whole."""
+    made = F.transform(F.array(F.split(text, "(?<=[。？！\n])")), lambda p: F.transform(_ranges(p, size), lambda r: strip(F.array_join(F.slice(p, r["first"] + 1, r["count"]), ""))))[0]
+    made = F.transform(F.array(made), lambda m: F.slice(m, 1, F.size(m) - (F.element_at(m, -1) == "").cast("int")))[0]
+    return F.transform(F.array(made), lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(text)))[0]
 
 
 def parts(text: Column, size: int = CHUNK_SIZE) -> Column:
@@ -80,29 +97,20 @@ def pack(pieces: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -
 
     Only the parts' own characters count against `size`. An overlap of 0 means none.
     """
-    kind = "struct<parts:array<string>,length:int,tail:string,bodies:array<string>>"
-    start = F.struct(F.array().cast(_TEXT).alias("parts"), F.lit(0).alias("length"), F.lit("").alias("tail"), F.array().cast(_TEXT).alias("bodies")).cast(kind)
-
-    def body(state: Column) -> Column:
-        text = F.array_join(state["parts"], "\n\n")
-        return F.when(state["tail"] != "", F.concat(state["tail"], F.lit("\n\n"), text)).otherwise(text)
-
-    def add(state: Column, part: Column) -> Column:
-        full = (F.size(state["parts"]) > 0) & (state["length"] + F.length(part) > size)
-        done = body(state)
-        emitted = F.struct(F.array(part).alias("parts"), F.length(part).alias("length"), (F.right(done, F.lit(overlap)) if overlap > 0 else F.lit("")).alias("tail"), F.concat(state["bodies"], F.array(done)).alias("bodies"))
-        kept = F.struct(F.concat(state["parts"], F.array(part)).alias("parts"), (state["length"] + F.length(part)).alias("length"), state["tail"].alias("tail"), state["bodies"].alias("bodies"))
-        return F.when(full, emitted.cast(kind)).otherwise(kept.cast(kind))
+    back = overlap // 3 + 1  # so many pieces, each of a character and two line breaks at least, hold the overlap
 
-    def finish(state: Column) -> Column:
-        return F.when(F.size(state["parts"]) > 0, F.concat(state["bodies"], F.array(body(state)))).otherwise(state["bodies"])
+    def body(r: Column) -> Column:
+        own = F.array_join(F.slice(pieces, r["first"] + 1, r["count"]), "\n\n")
+        since = F.greatest(r["first"] - back, F.lit(0))
+        before = F.right(F.array_join(F.slice(pieces, since + 1, r["first"] - since), "\n\n"), F.lit(overlap))
+        return F.when(r["first"] > 0, F.concat(before, F.lit("\n\n"), own)).otherwise(own) if overlap > 0 else own
 
-    return F.aggregate(pieces, start, add, finish)
+    return F.transform(_ranges(pieces, size), body)
 
 
 def chunk_texts(df: DataFrame, text_column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Each row with its text's chunks: adds chunk_order, body, char_count. Rows without a paragraph give none."""
-    bodies = df.withColumn("_bodies", pack(parts(F.col(text_column), size), size, overlap)).drop(text_column)
+    bodies = df.withColumn("_parts", parts(F.col(text_column), size)).drop(text_column).withColumn("_bodies", pack(F.col("_parts"), size, overlap)).drop("_parts")
     # outer, as else a filter on the array's size would be inferred and pushed down, packing everything twice
     out = bodies.select("*", F.posexplode_outer("_bodies").alias("chunk_order", "body")).drop("_bodies").where("body is not null")
     return out.withColumn("char_count", F.length("body"))
