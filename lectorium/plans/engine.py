@@ -156,6 +156,9 @@ class Engine:
         return context.with_details(ranked, self.tables["chunk"], self.tables["book"], self.tables["chapter"])
 
     def _embedded(self, queries: DataFrame, column: str) -> DataFrame:
+        """Vectors of the queries: those they bring along in a column `vector`, else the embedder's."""
+        if column == "query" and "vector" in queries.columns:
+            return queries.select("query_id", "vector").where("vector is not null")
         return embed(queries, self.embedder, "query_id", column).where("embedding is not null").withColumnRenamed("embedding", "vector")
 
     def _books(self, queries: DataFrame, book_id: int | None) -> DataFrame | None:

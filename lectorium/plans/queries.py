@@ -665,13 +665,6 @@ def worker_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", target.cast("bigint").alias("target"), cap.cast("bigint").alias("cap"), orchestrate.planned_workers(F.coalesce("chunk_ms", F.lit(1 << 40)), cap).cast("bigint").alias("workers"))
 
 
-@query()
-def makespan_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Makespans of each book's batches on one to four workers."""
-    batches = _once(spark, sf_dir, "extract_stats", "batch_id", "book_id", "ocr_ms").select(F.col("book_id").alias("job_id"), F.col("ocr_ms").alias("batch_ms"))
-    return evaluate.makespan(batches)
-
-
 @query("SELECT user_id, event_id, done FROM (SELECT user_id, event_id, done, lag(done, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS done FROM events)) WHERE done // 10 > before // 10")
 def progress_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events at which a user's running count passes a multiple of ten."""
@@ -705,15 +698,3 @@ def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _once(spark, sf_dir, "chunk", "chunk_id", "heading", "body")
     counts = lexical.trigram_postings(chunks).groupBy("term").agg(F.count("*").alias("c"))
     return counts.agg(F.lit("trigram").alias("index_name"), F.count("*").alias("terms"), F.sum("c").alias("postings"))
-
-
-def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: hybrid search over the library's chunks with details, spread over books for comparisons."""
-    from lectorium.plans.engine import Engine
-
-    tables = {"book": _t(spark, sf_dir, "book"), "chapter": _t(spark, sf_dir, "chapter"), "chunk": catalog.current(_t(spark, sf_dir, "chunk"), "chunk_id", "created_at"), "chunk_vec": catalog.current(_t(spark, sf_dir, "chunk_vec"), "chunk_id", "embedded_at").where(F.size("embedding") == 64).select("chunk_id", "embedding")}
-    found = Engine(spark, tables).search(_questions(spark), 10)
-    return found.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "book_title", "chapter_title")
-
-
-QUERIES["search_hybrid"] = search_hybrid

@@ -10,7 +10,7 @@ from tests.conftest import DATA
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 #: Queries of subpackages are tested beside them.
-CORE = [n for n in QUERIES if QUERIES[n].__module__ == "lectorium.plans.queries"]
+CORE = [n for n in QUERIES if QUERIES[n].__module__.startswith("lectorium.plans")]
 
 
 @pytest.fixture(scope="module")
