@@ -21,6 +21,8 @@ from lectorium.llm.common import checkpointed, in_parts
 
 #: Vectors of one side in one comparison; larger buckets are compared block by block.
 BLOCK = 2_000
+#: Of so many vectors one is hashed to tell which buckets are large.
+SAMPLED = 16
 #: Queries, and rows, of a pair of blocks in a search.
 QUERY_BLOCK = 20_000
 #: Expected share of the pairs at the threshold itself that are met, whatever the number of rows.
@@ -198,7 +200,9 @@ def similar_pairs(df: DataFrame, id_column: str, vector_column: str, least: floa
 
     # copies in bytes: a component is off by at most half a step, so cosines by little; the exact comparison follows
     entries = _entries(classes.select("rep", "vec"), hashing, kind)
-    large = entries.groupBy("table", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    # sizes are estimated from one vector in SAMPLED, as they only decide how a bucket is split: all of it meets in any case
+    some = _entries(classes.where(F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(SAMPLED)) == 0).select("rep", "vec"), hashing, kind)
+    large = some.groupBy("table", "bucket").agg((F.count("*") * SAMPLED).alias("size")).where(F.col("size") > BLOCK)
     large = checkpointed(large)
     if large.isEmpty():
         entries = entries.withColumn("blocks", F.lit(1))
