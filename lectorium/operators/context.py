@@ -9,8 +9,8 @@ from lectorium.functions.text import clipped
 from lectorium.schema import PROMPT_BUDGET, PROMPT_PER_CHUNK
 
 SYSTEM_PROMPT = (
-    "Answer the reader's question from the excerpts of their own books below. Put it in your own words, keep direct quotes short, "
-    "name the source of each statement as [title, chapter, pages], say so if the excerpts don't hold the answer, and use the question's language."
+    "You help a reader with the books of their library. Below are numbered excerpts; rely on nothing else. Answer in a few sentences in the language of the question, "
+    "and put the excerpts' numbers in brackets behind what you take from them. Where they are silent, say that the library doesn't tell."
 )
 HYDE_PROMPT = "Write a short passage, as it might stand in a book, that answers the question. Give only the passage, in the question's language."
 

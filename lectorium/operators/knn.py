@@ -14,6 +14,26 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFram
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def save_batch(stored: DataFrame, chunk: DataFrame, chunk_ids: list[int], vectors: list[list[float]], model: str, replace: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(vectors with a batch added, chunks with its model as embedding_version). As many vectors as ids are needed.
+
+    With `replace` the batch takes the place of stored vectors of its ids; without, an id that has one is an error.
+    """
+    if len(chunk_ids) != len(vectors):
+        raise ValueError(f"{len(chunk_ids)} chunks but {len(vectors)} vectors")
+    new = stored.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(chunk_ids, vectors)], "chunk_id long, embedding array<float>")
+    if not replace and not stored.join(new, "chunk_id", "left_semi").isEmpty():
+        raise ValueError("some chunks have a vector already")
+    saved = F.broadcast(new.select("chunk_id", F.lit(True).alias("_saved")))  # the batch's ids
+    versioned = chunk.join(saved, "chunk_id", "left").withColumn("embedding_version", F.when(F.col("_saved"), F.lit(model)).otherwise(F.col("embedding_version")))
+    return upsert(stored.select("chunk_id", "embedding"), new), versioned.select(*chunk.columns)
+
+
+def delete(stored: DataFrame, chunk_ids: DataFrame) -> DataFrame:
+    """`stored` without the vectors of `chunk_ids` (chunk_id)."""
+    return stored.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
+
+
 def _checked(vectors: DataFrame, id_column: str, vector_column: str, dimension: int | None) -> DataFrame:
     rows = vectors.select(F.col(id_column).alias("chunk_id"), F.col(vector_column).alias("vector")).where("chunk_id is not null and vector is not null")
     return rows if dimension is None else rows.where(F.size("vector") == dimension)

@@ -101,6 +101,11 @@ def corpus_statistics(postings: DataFrame, documents: DataFrame, id_column: str
     return rows.crossJoin(F.broadcast(total)).select("rows", (F.coalesce("total", F.lit(0)) / F.col("rows")).alias("mean"))
 
 
+def _lengths(postings: DataFrame) -> DataFrame:
+    """One row: the sum of the lengths of all indexed rows."""
+    return postings.select("chunk_id", "length").distinct().agg(F.coalesce(F.sum("length"), F.lit(0)).cast("double").alias("total"))
+
+
 def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str = "chunk_id", heading: str | None = "heading", body: str = "body", books: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Best chunks by BM25 over substrings of three characters or more, all of which must match.
 
@@ -168,6 +173,38 @@ class Index:
         some = df.join(trigram_candidates(trigrams, expanded), "chunk_id", "left_semi")
         return best_of([by_word, trigram_search(some, expanded, limit, books=books, corpus=self._corpus("trigrams"))], limit)
 
+    def added(self, df: DataFrame) -> Index:
+        """With the rows of `df` too, which the index didn't hold."""
+        words, trigrams = word_postings(df), trigram_postings(df)
+        rows = df.agg(F.count("*").alias("rows"))
+        changes = [rows.crossJoin(F.broadcast(_lengths(p))).select(F.lit(name).alias("index_name"), "rows", "total") for name, p in (("words", words), ("trigrams", trigrams))]  # single rows
+        return Index(self.words.unionByName(words), self.trigrams.unionByName(trigrams), self._changed(changes))
+
+    def without(self, chunk_ids: DataFrame) -> Index:
+        """Without the rows named in `chunk_ids` (chunk_id), all of which the index held."""
+        gone = chunk_ids.select("chunk_id").distinct()
+        rows = gone.agg((-F.count("*")).alias("rows"))
+        kept, changes = {}, []
+        for name, postings in (("words", self.words), ("trigrams", self.trigrams)):
+            total = _lengths(postings.join(gone, "chunk_id", "left_semi")).select((-F.col("total")).alias("total"))
+            changes.append(rows.crossJoin(F.broadcast(total)).select(F.lit(name).alias("index_name"), "rows", "total"))  # single rows
+            kept[name] = postings.join(gone, "chunk_id", "left_anti").select(*postings.columns)
+        return Index(kept["words"], kept["trigrams"], self._changed(changes))
+
+    def _changed(self, changes: list[DataFrame]) -> DataFrame:
+        """Statistics after `changes` (index_name, rows, total) of rows and of the sums of their lengths."""
+        every = self.statistics.select("index_name", "rows", F.coalesce(F.col("rows") * F.col("mean"), F.lit(0.0)).alias("total"))
+        for change in changes:
+            every = every.unionByName(change)
+        sums = every.groupBy("index_name").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+        return sums.select("index_name", "rows", F.when(F.col("rows") > 0, F.col("total") / F.col("rows")).alias("mean"))
+
+    def store(self, path: str) -> None:
+        """Writes the index as it is below `path`, which must not be where it is read from."""
+        for name, postings in (("words", self.words), ("trigrams", self.trigrams)):
+            postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/{name}")
+        self.statistics.coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+
     def _corpus(self, name: str) -> DataFrame:
         return self.statistics.where(F.col("index_name") == name).select("rows", "mean")
 

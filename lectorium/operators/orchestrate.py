@@ -59,6 +59,31 @@ def planned_workers(batch_ms: Column, cap: Column) -> Column:
     return F.array_max(F.filter(F.array(*map(F.lit, CANDIDATES)), lambda c: c <= F.greatest(most, F.lit(1))))
 
 
+def workers(setting: str, batch_ms: Column, cap: Column, pending_batches: Column) -> Column:
+    """Workers of a run: a fixed number as it is set, else as planned; never more than there are batches left, at least one.
+
+    `batch_ms` and `cap` may be null where the host or the warm-up told nothing: one worker then.
+    """
+    chosen = F.lit(int(setting)) if setting.isdigit() and int(setting) > 0 else F.when(batch_ms.isNotNull() & cap.isNotNull(), planned_workers(batch_ms, cap)).otherwise(F.lit(1))
+    return F.greatest(F.lit(1), F.least(chosen, pending_batches))
+
+
+#: What the host's own counters are called, and the columns they become.
+HOST_COUNTERS = {"hw.perflevel0.physicalcpu": "cores", "hw.memsize": "total_bytes", "page size of": "page_bytes", "Pages free": "free_pages", "Pages inactive": "inactive_pages", "Pages speculative": "speculative_pages"}
+
+
+def observed_hosts(reports: DataFrame) -> DataFrame:
+    """(host, cores, total_bytes, free_bytes) from the text of a host's counters (host, report); what isn't told is null."""
+    def told(name: str) -> Column:
+        pattern = "page size of (\\d+)" if name == "page size of" else name.replace(".", "\\.") + "\\s*[:=]\\s*(\\d+)"
+        found = F.regexp_extract("report", pattern, 1)
+        return F.when(found != "", found.cast("bigint"))
+
+    rows = reports.select("host", *(told(name).alias(column) for name, column in HOST_COUNTERS.items()))
+    free = (F.col("free_pages") + F.coalesce("inactive_pages", F.lit(0)) + F.coalesce("speculative_pages", F.lit(0))) * F.col("page_bytes")
+    return rows.select("host", "cores", "total_bytes", free.alias("free_bytes"))
+
+
 @dataclass(frozen=True)
 class Pruned:
     matched: int

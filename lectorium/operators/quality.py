@@ -41,14 +41,25 @@ def gate(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     return books.where(~skipped).withColumn("warning", F.when(F.col("quality") == "text_corrupt", F.lit("text_corrupt"))), books.where(skipped)
 
 
-def repair_epubs(page: DataFrame, books: DataFrame) -> DataFrame:
-    """Pages, with those of corrupt EPUB books repaired. `books`: (book_id, book_format, quality)."""
+def repair_epubs(page: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, with those of corrupt EPUB books repaired; books, with the quality of the repaired ones worked out again).
+
+    `books` has book_id, book_format and quality. A book none of whose pages the repair changes keeps its quality,
+    and so its warning.
+    """
     from lectorium.functions.python_udfs import repair_text
 
     corrupt = books.where("book_format = 'epub' and quality = 'text_corrupt'").select("book_id")
     columns = page.columns
-    fixed = page.join(corrupt, "book_id", "left_semi").withColumn("text", repair_text("text")["text"])
-    return page.join(corrupt, "book_id", "left_anti").select(*columns).unionByName(fixed.select(*columns))
+    fixed = page.join(corrupt, "book_id", "left_semi").withColumn("_fixed", repair_text("text"))
+    fixed = fixed.withColumn("text", F.col("_fixed.text")).withColumn("_changed", F.col("_fixed.changed")).drop("_fixed")
+    pages = page.join(corrupt, "book_id", "left_anti").select(*columns).unionByName(fixed.select(*columns))
+    changed = fixed.groupBy("book_id").agg(F.max("_changed").alias("_any")).where("_any").select("book_id")
+    again = classify(changed, fixed.join(changed, "book_id", "left_semi")).withColumnRenamed("quality", "_again")
+    graded = books.join(again, "book_id", "left").withColumn("quality", F.coalesce("_again", "quality"))
+    if "warning" in books.columns:
+        graded = graded.withColumn("warning", F.when(F.col("quality") == "text_corrupt", F.lit("text_corrupt")))
+    return pages, graded.select(*books.columns)
 
 
 def ocr_vote(page: DataFrame) -> DataFrame:

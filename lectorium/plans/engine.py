@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -17,7 +16,7 @@ from lectorium.config import Config
 from lectorium.functions import terms
 from lectorium.functions.text import clean_text, title_or_stem
 from lectorium.operators import catalog, chunking, context, fusion, knn, lexical, orchestrate, quality
-from lectorium.sources import exchange, files
+from lectorium.sources import exchange, files, storage
 from lectorium.sources.connectors import Embedder, HashingEmbedder, LanguageModel, answer, embed
 
 TABLES = {"book": S.BOOK, "chapter": S.CHAPTER, "chunk": S.CHUNK, "chunk_vec": S.CHUNK_VEC, "chunk_vec_binary": S.CHUNK_VEC_BINARY, "ingest_log": S.INGEST_LOG}
@@ -50,14 +49,35 @@ class Engine:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config | None = None, embedder: Embedder | None = None) -> Engine:
-        """Library stored as Parquet below `path`; tables that aren't there are empty."""
-        found = {name: spark.read.parquet(f"{path}/{name}") if _exists(spark, f"{path}/{name}") else spark.createDataFrame([], kind) for name, kind in TABLES.items()}
-        return cls(spark, found, config or Config(), embedder)
+        """Library stored below `path`, as it was saved last; tables that aren't there are empty."""
+        version = storage.read_text(spark, f"{path}/CURRENT")
+        place = f"{path}/{version.strip()}" if version else path
+        found = {name: spark.read.parquet(f"{place}/{name}") if storage.exists(spark, f"{place}/{name}") else spark.createDataFrame([], kind) for name, kind in TABLES.items()}
+        engine = cls(spark, found, config or Config(), embedder)
+        if storage.exists(spark, f"{place}/index/statistics"):
+            engine.index = lexical.Index.read(spark, f"{place}/index")
+        return engine
 
     def save(self, path: str) -> None:
-        """Writes each table below `path`; books last, as their rows say that the rest is there."""
-        for name in sorted(self.tables, key=lambda n: n == "book"):
-            self.tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        """Writes all tables, and the lexical index if one is open, into a new folder below `path`, and then names it the current one.
+
+        What is read stays as it is until all is written, so a library may be saved where it was opened, and a
+        save that fails changes nothing. The version before is kept for those who still read it; older ones go.
+        """
+        versions = sorted(int(f[2:]) for f in storage.folders(self.spark, path) if f.startswith("v-") and f[2:].isdigit())
+        number = (versions[-1] if versions else 0) + 1
+        place = f"{path}/v-{number}"
+        for name, table in self.tables.items():
+            table.write.mode("overwrite").parquet(f"{place}/{name}")
+        if self.index:
+            self.index.store(f"{place}/index")
+        before = storage.read_text(self.spark, f"{path}/CURRENT")
+        storage.write_text(self.spark, f"{path}/CURRENT", f"v-{number}")
+        for old in versions:
+            if f"v-{old}" != (before or "").strip():
+                storage.remove(self.spark, f"{path}/v-{old}")
+        opened = Engine.open(self.spark, path, self.config, self.embedder)
+        self.tables, self.index = {**self.tables, **opened.tables}, opened.index
 
     # ingest
 
@@ -67,7 +87,7 @@ class Engine:
         fresh = catalog.new_files(found.where("book_format <> ''"), self.tables["book"], force)
         if force:
             old = self.tables["book"].join(fresh.select("source_path"), "source_path", "left_semi").select("book_id")
-            self.tables = catalog.delete_books(self.tables, old)
+            self._delete(old)
         raw = files.contents(self.spark, path).join(fresh.select("source_path"), "source_path", "left_semi")
         probed = files.probe(raw).join(fresh.select("source_path", "file_hash"), "source_path")
         pages = files.pages(raw).where("error is null").select("source_path", "page_num", clean_text(F.col("text")).alias("text"))
@@ -81,7 +101,7 @@ class Engine:
         page = pages.join(numbered.select("source_path", "book_id"), "source_path").select("book_id", "page_num", "text")
         graded = numbered.join(quality.classify(numbered, page), "book_id", "left")
         passed, skipped = quality.gate(graded)
-        page = quality.repair_epubs(page.join(passed.select("book_id"), "book_id", "left_semi"), passed.select("book_id", "book_format", "quality"))
+        page, passed = quality.repair_epubs(page.join(passed.select("book_id"), "book_id", "left_semi"), passed)
         totals = passed.select("book_id", F.col("page_count").alias("total"))
         given = passed.where(F.size("toc") > 0).select("book_id", F.posexplode("toc").alias("chapter_order", "e")).select("book_id", F.col("e.title").alias("title"), "chapter_order", F.col("e.page").alias("page_start"))
         with_pages = chunking.chapter_ends(given.where("page_start is not null"), totals)
@@ -94,11 +114,22 @@ class Engine:
         self._append("book", book)
         self._append("chapter", chapter)
         self._append("chunk", linked)
+        if self.index:
+            self.index = self.index.added(linked)
         if embedding:
             self._append("chunk_vec", embed(linked, self.embedder, batch_size=self.config.embedding_batch_size).where("embedding is not null"))
         counts = linked.groupBy("book_id").agg(F.count("*").alias("chunks"))
         status = passed.select("source_path", "book_id", F.lit("completed").alias("status"), "quality").unionByName(skipped.select("source_path", "book_id", F.lit("skipped").alias("status"), "quality"))
-        return status.join(counts, "book_id", "left").select("source_path", "status", "quality", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+        status = status.join(counts, "book_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+        self._log(status)
+        return status.select("source_path", "status", "quality", "chunks")
+
+    def _log(self, status: DataFrame) -> None:
+        """Adds to the ingest log what became of each file; one that was skipped has no book to name."""
+        done = F.col("status") == "completed"
+        message = F.when(done, F.concat(F.col("chunks").cast("string"), F.lit(" chunks of "), "source_path")).otherwise(F.concat(F.coalesce("quality", F.lit("failed")), F.lit(": "), "source_path"))
+        rows = status.select(F.when(done, F.col("book_id")).alias("book_id"), F.when(done, F.lit("completed")).otherwise(F.lit("failed")).alias("status"), message.alias("message"), F.current_timestamp().alias("created_at"))
+        self._append("ingest_log", catalog.with_ids(rows, self.tables["ingest_log"], "log_id", ["message"]))
 
     def _append(self, name: str, rows: DataFrame) -> None:
         kind = TABLES[name]
@@ -226,11 +257,47 @@ class Engine:
             self.rebuild_embeddings(book_id)
 
     def delete_book(self, book_id: int) -> None:
-        self.tables = catalog.delete_books(self.tables, self.spark.createDataFrame([(book_id,)], "book_id long"))
+        self._delete(self.spark.createDataFrame([(book_id,)], "book_id long"))
+
+    def _delete(self, book_ids: DataFrame) -> None:
+        """Takes books out of all tables and out of the lexical index."""
+        if self.index:
+            self.index = self.index.without(self.tables["chunk"].join(book_ids, "book_id", "left_semi").select("chunk_id"))
+        self.tables = catalog.delete_books(self.tables, book_ids)
 
     def export(self, path: str, kind: str = "json", book_id: int | None = None) -> None:
         exchange.export(catalog.export_rows(self.tables["book"], self.tables["chunk"], book_id), path, kind)
 
+    def inspect(self, book_id: int | None = None, chunk_id: int | None = None) -> DataFrame:
+        """Lines of text: one chunk, the chapters of one book with their chunks, or the list of all books."""
+        if chunk_id is not None:
+            return exchange.chunk_text(catalog.first_where(self.tables["chunk"], "chunk_id", chunk_id, "chunk_id")).select("line")
+        if book_id is None:
+            return exchange.books_text(self.tables["book"]).orderBy("book_id").select("line")
+        counts = catalog.chunks_of(self.tables["chunk"], book_id).groupBy("chapter_id").agg(F.count("*").alias("chunks"))
+        rows = catalog.chapters_of(self.tables["chapter"], book_id).join(counts, "chapter_id", "left").orderBy("chapter_order")
+        pages = F.when(F.col("page_start").isNotNull() & F.col("page_end").isNotNull(), F.format_string("pages %d-%d", "page_start", "page_end"))
+        return rows.select(F.concat_ws(", ", F.concat(F.col("chapter_order").cast("string"), F.lit(". "), "title"), pages, F.format_string("%d chunks", F.coalesce("chunks", F.lit(0)))).alias("line"))
+
+    def doctor(self) -> DataFrame:
+        """(check, passed, detail) of what health can't see: keys, links, vectors, coverage of the index, last failures."""
+        book, chapter, chunk, vectors = (self.tables[n] for n in ("book", "chapter", "chunk", "chunk_vec"))
+        twice = book.groupBy("source_path").count().where("count > 1")
+        lost = chunk.join(book, "book_id", "left_anti").unionByName(chunk.join(chapter, "chapter_id", "left_anti")).select("chunk_id").distinct()
+        ids = chunk.select(F.col("chunk_id").alias("to"))
+        links = chunk.select(F.explode(F.array("prev_chunk_id", "next_chunk_id")).alias("to")).where("to is not null").join(ids, "to", "left_anti")
+        missing = catalog.without_vectors(chunk, vectors)
+        odd = vectors.where(F.size("embedding") != self.config.embedding_dimension)
+        failed = self.tables["ingest_log"].where("status = 'failed'")
+        found = [("one book a path", twice), ("chunks have their book and chapter", lost), ("links lead to chunks", links), ("every chunk has a vector", missing), (f"vectors have {self.config.embedding_dimension} numbers", odd), ("no file failed", failed)]
+        if self.index:
+            found.append(("the index holds every chunk that has words", chunk.where(F.size(terms.words(F.concat_ws(" ", "heading", "body"))) > 0).join(self.index.words.select("chunk_id").distinct(), "chunk_id", "left_anti")))
+        made = None
+        for name, rows in found:
+            one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), (F.col("n") == 0).alias("passed"), F.concat(F.col("n").cast("string"), F.lit(" found")).alias("detail"))
+            made = one if made is None else made.unionByName(one)
+        return made
+
     def statistics(self) -> DataFrame:
         return catalog.library_statistics(*(self.tables[n] for n in ("book", "chapter", "chunk", "chunk_vec")))
 
@@ -248,12 +315,5 @@ class Engine:
         return {"tables": fits, "embedder": embeds, "spark": not self.spark.sparkContext._jsc.sc().isStopped(), "settings": self.config.chunk_size > 0}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def empty_library(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], T.StructType(kind.fields)) for name, kind in TABLES.items()}

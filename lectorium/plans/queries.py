@@ -462,17 +462,17 @@ def adjacent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("query_id", "chunk_id", F.col("prev_body").cast("bigint").alias("before"), F.col("next_body").cast("bigint").alias("after"))
 
 
-_ENTRY = """'[' || rank || '] ' || coalesce('Book: ' || book_title, '') || coalesce(' | Chapter: ' || chapter_title, '') || CASE WHEN page_start IS NOT NULL AND page_end IS NOT NULL THEN ' | Pages: ' || page_start || '-' || page_end ELSE '' END || chr(10) || coalesce(heading, '') || chr(10) || '---' || chr(10)"""
+_CLIPPED = f"CASE WHEN strlen(body) > 500 THEN {_cut_sql('body', 500)} || '...' ELSE body END"
+_ENTRY = """'[' || rank || '] ' || coalesce('Book: ' || book_title, '') || coalesce(' | Chapter: ' || chapter_title, '') || CASE WHEN page_start IS NOT NULL AND page_end IS NOT NULL THEN ' | Pages: ' || page_start || '-' || page_end ELSE '' END || chr(10) || coalesce(BODY, '') || chr(10) || '---' || chr(10)"""
 
 
-@query(f"""WITH {_DETAILS}, e AS (SELECT query_id, rank, strlen({_ENTRY}) AS size FROM details)
+@query(f"""WITH {_DETAILS}, e AS (SELECT query_id, rank, strlen({_ENTRY.replace('BODY', _CLIPPED)}) AS size FROM details)
 , s AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY rank) AS running, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS first FROM e)
-SELECT query_id, count(*) AS kept, sum(size)::BIGINT AS bytes FROM s WHERE first = 1 OR running <= 600 GROUP BY query_id""")
+SELECT query_id, count(*) AS kept, sum(size)::BIGINT AS bytes FROM s WHERE first = 1 OR running <= 3000 GROUP BY query_id""")
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts (headings here) that fit 600 bytes for each query."""
+    """Excerpts of at most 500 bytes of each body that fit 3,000 bytes for each query."""
     details, _ = _details(spark, sf_dir, 10)
-    entries = context.prompt_entries(details.withColumn("body", F.coalesce("heading", F.lit(""))), 0)
-    kept = context.within_budget(entries, 600)
+    kept = context.within_budget(context.prompt_entries(details, 500), 3000)
     return kept.groupBy("query_id").agg(F.count("*").alias("kept"), F.sum(F.octet_length("entry")).cast("bigint").alias("bytes"))
 
 

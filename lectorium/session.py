@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,15 +22,24 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [place, *paths]))
 
 
+def _temporary() -> str:
+    place = tempfile.mkdtemp(prefix="lectorium-checkpoint-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    return place
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests, local runs) one is made.
+    The folder is the session's spark.checkpoint.dir; where none is set, a local master gets a temporary one, which
+    goes with the process, and a cluster is an error, as its workers wouldn't share such a folder.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectorium-checkpoint-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
+        context.setCheckpointDir(named or _temporary())
     return df.checkpoint(eager=True)
 
 

@@ -9,7 +9,7 @@ import subprocess
 import time
 import urllib.request
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,6 +112,26 @@ class CommandModel:
         return done.stdout.strip()
 
 
+class HttpModel:
+    """Language model behind a message API: POST {model, max_tokens, system, messages}, answered by a list of content blocks.
+
+    An answer of another status than 200, or without text, is an error.
+    """
+
+    def __init__(self, url: str, model: str, api_key: str = "", max_tokens: int = 2048, timeout_s: float = 60, headers: Mapping[str, str] | None = None):
+        self.url, self.model, self.api_key, self.max_tokens, self.timeout_s, self.headers = url, model, api_key, max_tokens, timeout_s, dict(headers or {})
+
+    def __call__(self, system: str, user: str) -> str:
+        body = json.dumps({"model": self.model, "max_tokens": self.max_tokens, "system": system, "messages": [{"role": "user", "content": user}]}).encode()
+        headers = {"Content-Type": "application/json", **({"x-api-key": self.api_key} if self.api_key else {}), **self.headers}
+        with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout_s) as answer:  # noqa: S310
+            made = json.load(answer)
+        text = "".join(block.get("text", "") for block in made.get("content", []) if block.get("type", "text") == "text")
+        if not text.strip():
+            raise ValueError("the model gave no answer")
+        return text
+
+
 OCR_STATS = ("ocr_pages", "ocr_retries", "ocr_fast_pages", "ocr_retry_pages", "ocr_ms", "ocr_fast_ms", "ocr_retry_ms")
 
 

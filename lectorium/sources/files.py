@@ -81,13 +81,28 @@ class Epub:
         return [cleaned(html_text(self.zip.read(p).decode("utf-8", "replace")) or "") for p in self.documents()]
 
     def contents(self) -> list[str]:
-        """Titles of the table of contents, nested ones in their place."""
-        for attributes in self.items.values():
-            path = posixpath.normpath(posixpath.join(self.folder, unquote(attributes.get("href", ""))))
-            if attributes.get("media-type") == "application/x-dtbncx+xml":
-                root = ElementTree.fromstring(self.zip.read(path))
-                return ["".join(e.itertext()).strip() for e in root.iter() if _local(e.tag) == "navLabel" and e is not None][_doc_titles(root):]
-        return []
+        """Titles of the table of contents, nested ones in their place: of the navigation document, else of the NCX."""
+        nav = next((a for a in self.items.values() if "nav" in a.get("properties", "").split()), None)
+        titles = self._nav_titles(self._item(nav)) if nav else []
+        ncx = next((a for a in self.items.values() if a.get("media-type") == "application/x-dtbncx+xml"), None)
+        if titles or ncx is None:
+            return titles
+        root = ElementTree.fromstring(self._item(ncx))
+        return ["".join(e.itertext()).strip() for e in root.iter() if _local(e.tag) == "navLabel" and e is not None][_doc_titles(root):]
+
+    def _item(self, attributes: dict[str, str]) -> bytes:
+        return self.zip.read(posixpath.normpath(posixpath.join(self.folder, unquote(attributes.get("href", "")))))
+
+    @staticmethod
+    def _nav_titles(raw: bytes) -> list[str]:
+        """Labels of the entries in the `nav` whose type is toc; landmarks and lists of pages are left out."""
+        root = ElementTree.fromstring(raw)
+        found = [e for e in root.iter() if _local(e.tag) == "nav"]
+        chosen = next((e for e in found if any(_local(k) == "type" and "toc" in v.split() for k, v in e.attrib.items())), None)
+        if chosen is None:
+            return []
+        labels = (next((c for c in e if _local(c.tag) in ("a", "span")), None) for e in chosen.iter() if _local(e.tag) == "li")
+        return [title for label in labels if label is not None and (title := " ".join("".join(label.itertext()).split()))]
 
 
 def _doc_titles(root: ElementTree.Element) -> int:

@@ -1,6 +1,8 @@
+import http.server
 import io
 import json
 import random
+import threading
 import zipfile
 
 import pytest
@@ -9,7 +11,8 @@ from pyspark.sql import types as T
 
 from lectorium import schema as S
 from lectorium.config import Config
-from lectorium.operators import catalog, chunking, evaluate, orchestrate, quality
+from lectorium.operators import catalog, chunking, evaluate, knn, orchestrate, quality
+from lectorium.plans import jobs
 from lectorium.plans.engine import Engine, empty_library
 from lectorium.sources import connectors, exchange, files
 from lectorium.streaming import ingest as stream
@@ -236,6 +239,133 @@ def test_ingest_search_ask_delete(spark, tmp_path):
     assert engine.tables["chunk"].count() == 0 and engine.tables["chunk_vec"].count() == 0
 
 
+def test_a_library_that_is_kept(spark, tmp_path):
+    """Open, ingest, save, open, delete, save where it was opened, with the index following each change."""
+    store, books = str(tmp_path / "store"), tmp_path / "books"
+    books.mkdir()
+    (books / "a.epub").write_bytes(an_epub(["The orchard stands still.", "A lantern in the harbour."]))
+    (books / "broken.epub").write_bytes(b"no zip")
+    engine = Engine.open(spark, store, Config(chunk_size=60))
+    engine.ingest(str(books))
+    engine.rebuild_lexical(str(tmp_path / "first"))
+    engine.save(store)
+    (books / "b.epub").write_bytes(an_epub(["A second lantern burns.", "索引はカタログの品質を説明する"]))
+    engine = Engine.open(spark, store, Config(chunk_size=60))
+    engine.ingest(str(books))
+    engine.save(store)
+    engine = Engine.open(spark, store, Config(chunk_size=60))
+    asked = spark.createDataFrame([(1, "lantern"), (2, "品質")], "query_id long, query string")
+    assert sorted((r["query_id"], r["book_id"]) for r in engine.search(asked, 5, "fts").collect()) == [(1, 1), (1, 2), (2, 2)]
+
+    def scores():
+        return sorted((r["query_id"], r["chunk_id"], round(r["score"], 6)) for r in engine.search(asked, 5, "fts").collect())
+
+    kept, upheld = scores(), engine.index
+    engine.index = None
+    assert scores() == kept  # as without an index
+    engine.index = upheld
+    log = [(r["status"], r["book_id"]) for r in engine.tables["ingest_log"].orderBy("log_id").collect()]
+    assert sorted(log, key=str) == [("completed", 1), ("completed", 2), ("failed", None), ("failed", None)]
+    engine.delete_book(1)
+    engine.save(store)
+    engine = Engine.open(spark, store, Config(chunk_size=60))
+    assert {r["book_id"] for r in engine.search(asked, 5, "fts").collect()} == {2}
+    kept, upheld = scores(), engine.index
+    engine.index = None
+    assert scores() == kept
+    engine.index = upheld
+    report = {r["check"]: r["passed"] for r in engine.doctor().collect()}
+    assert report.pop("no file failed") is False and all(report.values()), report
+    assert "2 chunks" in " ".join(r["line"] for r in engine.inspect(2).collect()) or engine.inspect(2).count() == 2
+    assert engine.inspect().count() == 1 and "characters" in engine.inspect(chunk_id=engine.tables["chunk"].first()["chunk_id"]).first()["line"]
+    assert len(list((tmp_path / "store").glob("v-*"))) == 2
+
+
+def test_jobs_resume(spark, tmp_path):
+    ranges = spark.createDataFrame([(1, 1, 2), (1, 3, 4), (2, 1, 1)], jobs.RANGES)
+    seen = []
+
+    def extract(broken):
+        def read(left):
+            seen.append(sorted(map(tuple, left.collect())))
+            rows = left.withColumn("page_num", F.explode(F.sequence("page_start", "page_end")))
+            bad = F.when((F.col("book_id") == 1) & (F.col("page_start") == 3) & F.lit(broken), F.lit("unreadable"))
+            return rows.select("*", F.format_string("page %d of %d", "page_num", "book_id").alias("text"), bad.alias("error"))
+
+        return read
+
+    job = jobs.Job.open(spark, str(tmp_path), "j1", attempts=2, wait_s=0)
+    assert job.run(ranges, extract(True)) is False and job.status == "failed" and job.failed[0]["error"] == "unreadable"
+    assert seen == [[(1, 1, 2), (1, 3, 4), (2, 1, 1)], [(1, 3, 4)]]
+    again = jobs.Job.open(spark, str(tmp_path), "j1", wait_s=0)
+    assert again.pages().count() == 3 and again.run(ranges, extract(False)) and seen[2:] == [[(1, 3, 4)]]
+    assert [(r["book_id"], r["page_num"], r["text"]) for r in again.pages().orderBy("book_id", "page_num").collect()] == [(1, n, f"page {n} of 1") for n in (1, 2, 3, 4)] + [(2, 1, "page 1 of 2")]
+    assert jobs.Job.open(spark, str(tmp_path), "j1").run(ranges, extract(True)) and len(seen) == 3  # nothing is left
+    assert jobs.Job.open(spark, str(tmp_path), "j1", reset=True).pages().count() == 0
+
+
+def test_quality_is_graded_again_after_repair(spark):
+    odd = "\u200b\u200b\u200b\u200bThe orchard stands."
+    page = spark.createDataFrame([(1, n, odd) for n in range(4)] + [(2, n, odd) for n in range(4)] + [(3, 1, "Fine.")], S.PAGE)
+    books = spark.createDataFrame([(1, "epub", "text_corrupt", "text_corrupt"), (2, "pdf", "text_corrupt", "text_corrupt"), (3, "epub", "ok", None)], "book_id long, book_format string, quality string, warning string")
+    pages, graded = quality.repair_epubs(page, books)
+    assert {r["book_id"]: (r["quality"], r["warning"]) for r in graded.collect()} == {1: ("ok", None), 2: ("text_corrupt", "text_corrupt"), 3: ("ok", None)}
+    assert {r["text"] for r in pages.where("book_id = 1").collect()} == {"The orchard stands."} and pages.count() == 9
+
+
+def test_embedding_batches(spark):
+    stored = spark.createDataFrame([(1, [1.0]), (2, [2.0])], S.CHUNK_VEC)
+    chunk = spark.createDataFrame([(1, "a"), (3, "a")], "chunk_id long, embedding_version string")
+    vectors, chunks = knn.save_batch(stored, chunk, [1, 3], [[5.0], [6.0]], "m")
+    assert {r[0]: r[1] for r in vectors.collect()} == {1: [5.0], 2: [2.0], 3: [6.0]} and {r[1] for r in chunks.collect()} == {"m"}
+    with pytest.raises(ValueError):
+        knn.save_batch(stored, chunk, [1], [], "m")
+    with pytest.raises(ValueError):
+        knn.save_batch(stored, chunk, [1], [[1.0]], "m", replace=False)
+    assert [r["chunk_id"] for r in knn.delete(stored, stored.where("chunk_id = 1")).collect()] == [2]
+
+
+def test_workers_and_hosts(spark):
+    row = spark.createDataFrame([(3000, 8, 5), (3000, None, 1), (None, None, 9)], "ms long, cap int, left int")
+    planned = [r[0] for r in row.select(orchestrate.workers("auto", F.col("ms"), F.col("cap"), F.col("left"))).collect()]
+    fixed = [r[0] for r in row.select(orchestrate.workers("6", F.col("ms"), F.col("cap"), F.col("left"))).collect()]
+    assert planned == [2, 1, 1] and fixed == [5, 1, 6]
+    report = "hw.perflevel0.physicalcpu: 10\nhw.memsize: 34359738368\nMach Virtual Memory Statistics: (page size of 16384 bytes)\nPages free:      100.\nPages inactive:   50.\n"
+    hosts = spark.createDataFrame([("a", report), ("b", "")], "host string, report string")
+    assert [tuple(r) for r in orchestrate.observed_hosts(hosts).orderBy("host").collect()] == [("a", 10, 34359738368, 150 * 16384), ("b", None, None, None)]
+
+
+def test_language_model_over_http():
+    heard = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            heard.append((self.headers["x-api-key"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"content": [{"type": "text", "text": "It "}, {"type": "text", "text": "is."}] if len(heard) == 1 else []}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        model = connectors.HttpModel(f"http://127.0.0.1:{server.server_port}/v1/messages", "m", "key")
+        assert model("system", "user") == "It is."
+        assert heard[0] == ("key", {"model": "m", "max_tokens": 2048, "system": "system", "messages": [{"role": "user", "content": "user"}]})
+        with pytest.raises(ValueError):
+            model("system", "user")
+    finally:
+        server.shutdown()
+
+
+def test_epub_navigation_document():
+    nav = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="x">Cover</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="a">One <i>fine</i> day</a><ol><li><a href="b">Nested</a></li></ol></li><li><span>Two</span></li></ol></nav></body></html>'
+    assert files.Epub._nav_titles(nav.encode()) == ["One fine day", "Nested", "Two"]
+    assert files.Epub._nav_titles(b"<html><body/></html>") == []
+
+
 def test_embedding_fallback(spark):
     def shaky(texts):
         if any("bad" in t for t in texts):
