@@ -83,10 +83,19 @@ class Hashing:
 def usable(df: DataFrame, id_column: str, vector_column: str, dimension: int) -> DataFrame:
     """(id, vec): one unit vector for each id; null, empty, all-zero, not finite and wrong-sized vectors are left out."""
     v = F.col(vector_column)
-    rows = df.select(F.col(id_column).alias("id"), v.cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size(v) == dimension)).dropDuplicates(["id"])
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("n", norm).where((F.col("n") > 0) & (F.col("n") < float("inf")))
-    return rows.select("id", F.transform("v", lambda x: x / F.col("n")).cast("array<float>").alias("vec"))
+    rows = df.select(F.col(id_column).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size(v) == dimension)).dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, 4_000):
+            x = _matrix(batch.column("v"), dimension).astype(np.float64)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            keep = (norm > 0) & np.isfinite(norm)
+            unit = (x[keep] / norm[keep][:, None]).astype(np.float32)
+            ends = pa.array(np.arange(0, unit.size + 1, dimension), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(keep)), pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], ["id", "vec"])
+
+    kind = df.schema[id_column].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, vec array<float>")
 
 
 def usual_dimension(df: DataFrame, vector_column: str) -> int | None:
