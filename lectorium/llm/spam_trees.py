@@ -53,7 +53,9 @@ PRODUCT_MARKS = "sku size pack pcs new sale deal discount off free cheap buy shi
 _PRODUCT = re.compile(r"\bsize\s+\w{1,3}\b|\b\d+-?pack\b|[-−]\d{1,2}\s?%|[€$£]\s?\d|\b(?:" + "|".join(PRODUCT_MARKS.split()) + r")\b")  # of small letters
 _PRODUCT_WORDS, _COMPOUND = frozenset(PRODUCT_MARKS.split()), re.compile("['’-]")
 _ARTICLE = re.compile(r"\bsku\b|\bsize\s+\w{1,3}\b|\b\d+-?pack\b", re.IGNORECASE)
-_SEPARATORS = tuple(map(re.compile, (r"[|/+·•→]", r"[,;](?=\s)", r"\s-\s")))  # each by itself starts with few characters, which is much faster
+_SIGNS = "|/+·•→"  # separators by themselves
+_COMMA, _DASH = re.compile(r"[,;](?=\s)"), re.compile(r"\s-\s")
+_ODD_BLANK = re.compile(r"[^\S \n]")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣฀-๿]")
 
@@ -69,6 +71,13 @@ def _solid(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+def _separators(text: str, plain_blanks: bool) -> int:
+    """Separators in a text: signs, commas and semicolons before a blank, dashes between blanks."""
+    found = sum(map(text.count, _SIGNS))
+    found += sum(map(text.count, (", ", ",\n", "; ", ";\n"))) if plain_blanks else len(_COMMA.findall(text))
+    return found + (len(_DASH.findall(text)) if "-" in text else 0)
+
+
 def _maybe_row(line: str) -> bool:
     end = line.rstrip()
     return "=" in line or ":" in line or "...." in line or line.lstrip()[:1].isdigit() or end[-1:] == "." and end[-2:-1].isdigit()
@@ -109,7 +118,7 @@ def features(text: str) -> list[float]:
     tagged = "#" in text or "@" in text
     tags = _TAG.findall(rest) if tagged else []
     bare = _TAG.sub(" ", rest) if tags else rest
-    marked = _LETTER_MARK.search(text) is not None
+    marked = not text.isascii() and _LETTER_MARK.search(text) is not None
     token = _TOKENS[marked]
     lines = text.split("\n")
     seen: dict[str, tuple[str, str, list[list[str]]]] = {}
@@ -134,6 +143,7 @@ def features(text: str) -> list[float]:
     several = {w for w, c in counts.items() if c > 1}
     entropy = 1.0 - sum(k * c * math.log2(c) for c, k in Counter(counts.values()).items()) / (n * math.log2(n)) if n > 1 else 1.0
     plain_script = text.isascii()
+    plain_blanks = _ODD_BLANK.search(text) is None
     thai, cjk = (False, False) if plain_script else (_THAI.search(text), _CJK.search(text))
     products = marked or _may_sell(text, counts)
 
@@ -157,9 +167,9 @@ def features(text: str) -> list[float]:
                 product += times * _solid(plain)
                 continue
         for piece, ws in zip(_PIECE.findall(plain) if len(word_groups) > 1 else (plain,), word_groups):
-            if not (parts := piece.split()):
+            solid_piece, m = len(piece) - piece.count(" ") if plain_blanks else _solid(piece), len(ws)
+            if not solid_piece:
                 continue
-            solid_piece, m = sum(map(len, parts)), len(ws)
             ended = piece[-1] in _STOP_SIGNS or _ended(piece)
             if thai and _THAI.search(piece):  # no stops: each blank may end a sentence
                 good, ended = solid_piece >= 18 and len(set(ws)) >= 0.7 * m, True
@@ -168,7 +178,7 @@ def features(text: str) -> list[float]:
             elif cjk and _CJK.search(piece):
                 good = solid_piece >= 6
             else:
-                good = m >= 3 and len(set(ws)) >= 0.55 * m and sum(map(len, ws)) >= 2.5 * m
+                good = m >= 3 and len(set(ws)) >= 0.55 * m and len("".join(ws)) >= 2.5 * m
             if good and not often:
                 sentence += times * solid_piece
                 stated += times
@@ -187,7 +197,7 @@ def features(text: str) -> list[float]:
         math.log1p(solid), link_chars / solid, tag_chars / solid, tag_lines / max(1, len(text)),
         sentence / solid, repeat / solid, row / solid, product / solid, len(counts) / n, max(counts.values(), default=0) / n, repeated / n, top_triple, keyword / solid,
         sentence / max(1, solid - link_chars - tag_chars), len(links) / (1 + stated), entropy,
-        sum(map(len, words)) / n, len(_STOP.findall(bare)) / n, sum(len(sign.findall(bare)) for sign in _SEPARATORS) / n, sum(map(text.count, "0123456789")) / solid, len(links) / (n + len(links)),
+        len("".join(words)) / n, len(_STOP.findall(bare)) / n, _separators(bare, plain_blanks) / n, sum(map(text.count, "0123456789")) / solid, len(links) / (n + len(links)),
         line_links / solid, marks / solid,
     ]
 
