@@ -27,6 +27,7 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "ɡ": "g", "ɑ": "a", "ı": "ı",
 }
+_TO_LATIN, _LOOKALIKE = str.maketrans(LOOKALIKES), frozenset(LOOKALIKES)
 #: Punctuation that can't be told apart.
 SAME_MARKS = {"‐": "-", "‑": "-", "­": "", "․": ".", "ʼ": "’", "∕": "/", "⁄": "/", "∶": ":", "꞉": ":"}
 #: Invisible characters that join letters; they are kept where they shape the script.
@@ -97,6 +98,27 @@ def compiled() -> dict[str, str]:
     return table
 
 
+def _to_look(text: str) -> str:
+    """`text` with look-alike letters made Latin, those under accents too."""
+    parts = unicodedata.normalize("NFD", text)
+    return text if _LOOKALIKE.isdisjoint(parts) else unicodedata.normalize("NFC", parts.translate(_TO_LATIN))
+
+
+@lru_cache(maxsize=1)
+def compiled_look() -> dict[str, str]:
+    """As `compiled`, with look-alike letters, alone or composed with accents, brought to the Latin ones in the same pass."""
+    table = {source: _to_look(target) for source, target in compiled().items()}
+    for code in range(0x80, 0x2000):
+        c = chr(code)
+        to = _to_look(table.get(c, c))
+        if to != c and table.setdefault(c, to) != to:
+            raise ConflictError(f"{c!r} to {table[c]!r} and {to!r}")
+    for source, target in table.items():
+        if "".join(table.get(c, c) for c in target) != target:
+            raise ConflictError(f"{source!r} gives {target!r}, which is no final form")
+    return table
+
+
 def _unseen() -> list[int]:
     return sorted({ord(s) for s, to in compiled().items() if not to} | {ord(j) for j in JOINERS})
 
@@ -134,19 +156,19 @@ class _Patterns:
     cluster: re.Pattern[str]
 
 
-@lru_cache(maxsize=2)
-def _patterns(wide: bool) -> _Patterns:
+@lru_cache(maxsize=4)
+def _patterns(wide: bool, look: bool = False) -> _Patterns:
     def some(codes: list[int]) -> str:
         return _spans([c for c in codes if wide or c <= 0xFFFF])
 
-    marks, unseen, listed = some(_marks()), some(_unseen()), some(sorted(ord(s) for s in compiled() if len(s) == 1))
+    marks, unseen, listed = some(_marks()), some(_unseen()), some(sorted(ord(s) for s in (compiled_look() if look else compiled()) if len(s) == 1))
     # a base with the marks after it, joiners, or a listed character; the longest first
     return _Patterns(re.compile(f"[{listed}]"), re.compile(f"[{marks}{unseen}]"), re.compile(f"[^{marks}\\s{unseen}](?:[{unseen}]*[{marks}])+|[{JOINERS}]+|[{listed}]"))
 
 
-@lru_cache(maxsize=1)
-def _singles() -> dict[int, str]:
-    return {ord(s): to for s, to in compiled().items() if len(s) == 1}
+@lru_cache(maxsize=2)
+def _singles(look: bool = False) -> dict[int, str]:
+    return {ord(s): to for s, to in (compiled_look() if look else compiled()).items() if len(s) == 1}
 
 
 @lru_cache(maxsize=1)
@@ -159,14 +181,14 @@ def _keeps_joiner(before: str, after: str) -> bool:
     return bool(before and after) and (unicodedata.combining(before) == 9 or "؀" <= before <= "ࣿ" and "؀" <= after <= "ࣿ" or ord(before) > 0x1F000)
 
 
-def canonical(text: str) -> str:
-    """The consistent form of `text`: same look, one spelling. Letters keep their script (see skeleton)."""
+def canonical(text: str, look: bool = False) -> str:
+    """The consistent form of `text`: same look, one spelling. Letters keep their script, unless `look` (see skeleton)."""
     if text.isascii():
         return text
-    patterns = _patterns(len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text))
+    patterns = _patterns(len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text), look)
     if not patterns.joining.search(text):  # single characters only
-        return text.translate(_singles()) if patterns.listed.search(text) else text
-    table, unseen = compiled(), _nothing()
+        return text.translate(_singles(look)) if patterns.listed.search(text) else text
+    table, unseen = compiled_look() if look else compiled(), _nothing()
 
     def form(m: re.Match[str]) -> str:
         cluster = m.group()
@@ -182,7 +204,7 @@ def canonical(text: str) -> str:
         if len(cluster) == 1:
             return cluster
         # the longest listed beginning, then the rest; canonical order of several marks
-        cluster = unicodedata.normalize("NFC", cluster)
+        cluster = _to_look(unicodedata.normalize("NFC", cluster)) if look else unicodedata.normalize("NFC", cluster)
         out, i = [], 0
         while i < len(cluster):
             for j in (2, 1):
@@ -196,12 +218,9 @@ def canonical(text: str) -> str:
     return patterns.cluster.sub(form, text)
 
 
-_TO_LATIN = str.maketrans(LOOKALIKES)
-
-
 def skeleton(text: str) -> str:
-    """Key that is equal for texts that look the same: the canonical form with look-alike letters made Latin."""
-    return text if text.isascii() else canonical(text).translate(_TO_LATIN)
+    """Key that is equal for texts that look the same: the canonical form with look-alike letters made Latin, in one pass."""
+    return canonical(text, look=True)
 
 
 _WORD = re.compile(r"[^\W\d_]+")
