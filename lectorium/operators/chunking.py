@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,11 @@ def chapter_pages(page: DataFrame, chapter: DataFrame) -> DataFrame:
 _AT_ONCE = 256
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of `value`, which is bound by a lambda, as else it would be worked out for each of its uses."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _ranges(pieces: Column, size: int) -> Column:
     """Array of (first, count) of the groups of neighbouring pieces, packed up to `size` characters; a larger piece is a group of its own.
 
@@ -62,8 +69,9 @@ def _ranges(pieces: Column, size: int) -> Column:
     """
     state = "struct<length:int,at:int,firsts:array<int>>"
     none = F.array().cast("array<int>")
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    blocks = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _AT_ONCE).cast("int")), lambda b: F.slice(lengths, b * _AT_ONCE + 1, F.lit(_AT_ONCE)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def blocks(lengths: Column) -> Column:
+        return F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _AT_ONCE).cast("int")), lambda b: F.slice(lengths, b * _AT_ONCE + 1, F.lit(_AT_ONCE)))).otherwise(F.array().cast("array<array<int>>"))
 
     def add(s: Column, length: Column) -> Column:
         opens = (s["at"] == 0) | (s["length"] > 0) & (s["length"] + length > size)
@@ -72,18 +80,19 @@ def _ranges(pieces: Column, size: int) -> Column:
 
     def add_block(s: Column, block: Column) -> Column:
         own = F.aggregate(block, F.struct(s["length"].alias("length"), s["at"].alias("at"), none.alias("firsts")).cast(state), add)
-        # bound by a lambda, as else it would be worked out for each use
-        return F.transform(F.array(own), lambda x: F.struct(x["length"].alias("length"), x["at"].alias("at"), F.concat(s["firsts"], x["firsts"]).alias("firsts")))[0].cast(state)
+        return _once(own, lambda x: F.struct(x["length"].alias("length"), x["at"].alias("at"), F.concat(s["firsts"], x["firsts"]).alias("firsts"))).cast(state)
 
-    firsts = F.aggregate(blocks, F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), none.alias("firsts")).cast(state), add_block)["firsts"]
+    lengths = F.transform(pieces, lambda p: F.length(p))
+    firsts = F.aggregate(_once(lengths, blocks), F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), none.alias("firsts")).cast(state), add_block)["firsts"]
     return F.flatten(F.transform(F.filter(F.array(firsts), lambda f: F.size(f) > 0), lambda f: F.zip_with(f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(pieces))), lambda first, after: F.struct(first.alias("first"), (after - first).alias("count")))))
 
 
 def force_split(text: Column, size: int) -> Column:
     """A long paragraph cut after Japanese sentence ends and line breaks, packed up to `size`; uncuttable text stays whole."""
-    made = F.transform(F.array(F.split(text, "(?<=[。？！\n])")), lambda p: F.transform(_ranges(p, size), lambda r: strip(F.array_join(F.slice(p, r["first"] + 1, r["count"]), ""))))[0]
-    made = F.transform(F.array(made), lambda m: F.slice(m, 1, F.size(m) - (F.element_at(m, -1) == "").cast("int")))[0]
-    return F.transform(F.array(made), lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(text)))[0]
+    pieces = F.split(text, "(?<=[。？！\n])")
+    made = _once(pieces, lambda p: F.transform(_ranges(p, size), lambda r: strip(F.array_join(F.slice(p, r["first"] + 1, r["count"]), ""))))
+    made = _once(made, lambda m: F.slice(m, 1, F.size(m) - (F.element_at(m, -1) == "").cast("int")))
+    return _once(made, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(text)))
 
 
 def parts(text: Column, size: int = CHUNK_SIZE) -> Column:
@@ -99,18 +108,18 @@ def pack(pieces: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -
     """
     back = overlap // 3 + 1  # so many pieces, each of a character and two line breaks at least, hold the overlap
 
-    def body(r: Column) -> Column:
+    def body(pieces: Column, r: Column) -> Column:
         own = F.array_join(F.slice(pieces, r["first"] + 1, r["count"]), "\n\n")
         since = F.greatest(r["first"] - back, F.lit(0))
         before = F.right(F.array_join(F.slice(pieces, since + 1, r["first"] - since), "\n\n"), F.lit(overlap))
         return F.when(r["first"] > 0, F.concat(before, F.lit("\n\n"), own)).otherwise(own) if overlap > 0 else own
 
-    return F.transform(_ranges(pieces, size), body)
+    return _once(pieces, lambda p: F.transform(_ranges(p, size), lambda r: body(p, r)))
 
 
 def chunk_texts(df: DataFrame, text_column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Each row with its text's chunks: adds chunk_order, body, char_count. Rows without a paragraph give none."""
-    bodies = df.withColumn("_parts", parts(F.col(text_column), size)).drop(text_column).withColumn("_bodies", pack(F.col("_parts"), size, overlap)).drop("_parts")
+    bodies = df.withColumn("_bodies", pack(parts(F.col(text_column), size), size, overlap)).drop(text_column)
     # outer, as else a filter on the array's size would be inferred and pushed down, packing everything twice
     out = bodies.select("*", F.posexplode_outer("_bodies").alias("chunk_order", "body")).drop("_bodies").where("body is not null")
     return out.withColumn("char_count", F.length("body"))
