@@ -144,8 +144,12 @@ def sentence_marks(text: Column) -> Column:
 
     def marks(block: Column) -> Column:
         pieces = F.transform(F.regexp_extract_all(mask(block), F.lit(sentence_pattern()), F.lit(0)), lambda p: F.struct(F.length(p).alias("length"), F.lit(True).alias("is_sentence")))
-        rest = F.length(block) - F.aggregate(pieces, F.lit(0), lambda n, p: n + p["length"])
-        return F.concat(pieces, F.array(F.struct(rest.alias("length"), F.lit(False).alias("is_sentence"))))
+
+        def whole(own: Column) -> Column:
+            rest = F.length(block) - F.aggregate(own, F.lit(0), lambda n, p: n + p["length"])
+            return F.concat(own, F.array(F.struct(rest.alias("length"), F.lit(False).alias("is_sentence"))))
+
+        return F.transform(F.array(pieces), whole)[0]  # bound by a lambda, as else the pieces would be matched twice
 
     return F.flatten(F.transform(blocks, marks))
 
