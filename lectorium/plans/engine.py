@@ -152,7 +152,10 @@ class Engine:
 
     def search_one(self, question: str, limit: int | None = None, mode: Mode | str = Mode.HYBRID, book_id: int | None = None) -> list[Row]:
         """Results of one question in their order; nothing from any source is an error, as an empty index is."""
-        asked = self.spark.createDataFrame([(1, question)], "query_id long, query string")
+        if mode == Mode.FTS:
+            asked = self.spark.createDataFrame([(1, question)], "query_id long, query string")
+        else:  # one question is embedded here rather than by a job
+            asked = self.spark.createDataFrame([(1, question, [float(x) for x in self.embedder([question])[0]])], "query_id long, query string, vector array<float>")
         rows = self.search(asked, limit, mode, book_id).orderBy("rank").collect()  # at most `limit` rows
         if not rows:
             raise NoResultsError(f"nothing found by {Mode(mode).value}")
