@@ -42,11 +42,18 @@ CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー々"
 
 
 def _hide(text: Column, before: str, ends: str, after: str) -> Column:
-    """Masks each of `ends` that stands between the patterns `before` (fixed length) and `after`."""
+    """Masks each of `ends` that stands between the patterns `before` (a look-behind, or '') and `after`.
+
+    The terminator is matched first and what stands before it then, as looking behind at every character is slow.
+    """
+
+    def pattern(sign: str) -> str:
+        return f"{sign}{before[:4]}(?:{before[4:-1]}){sign}){after}" if before else f"{sign}{after}"
+
     if "." in ends:
-        text = F.regexp_replace(text, f"{before}[.]{after}", HIDDEN_STOP)
+        text = F.regexp_replace(text, pattern("[.]"), HIDDEN_STOP)
         ends = ends.replace(".", "")
-    return F.regexp_replace(text, f"{before}[{ends}]{after}", HIDDEN_END) if ends else text
+    return F.regexp_replace(text, pattern(f"[{ends}]"), HIDDEN_END) if ends else text
 
 
 #: The private-use character that stands for the line break before a blank line, which no bracket goes beyond.
@@ -111,7 +118,7 @@ def mask(text: Column) -> Column:
 
 
 #: Thai has no stop: a blank ends a sentence unless a digit stands beside it.
-_THAI_BREAK = f"(?<=[\\p{{IsThai}}]{CLOSERS}{{0,2}})(?={SPACE}+[^\\s0-9๐-๙])"
+_THAI_BREAK = f"(?={SPACE}+[^\\s0-9๐-๙])(?<=[\\p{{IsThai}}]{CLOSERS}{{0,2}})"
 
 
 def sentence_pattern() -> str:
@@ -120,7 +127,7 @@ def sentence_pattern() -> str:
     ends = "|".join([
         f"{stop}(?={SPACE}|\\z)",
         f"[{CJK_ENDS}]+{CLOSERS}*",
-        f"(?<=[\\p{{Ll}}\\p{{M}}\\p{{N}})%\\ue000])[.!?…]+{CLOSERS}*(?={OPENERS}?\\p{{Lu}})",
+        f"[.!?…](?<=[\\p{{Ll}}\\p{{M}}\\p{{N}})%\\ue000][.!?…])[.!?…]*{CLOSERS}*(?={OPENERS}?\\p{{Lu}})",
         f"[।॥؟۔]+{CLOSERS}*",
         f"(?={SPACE}*\\n{SPACE}*\\n)",
         _THAI_BREAK,
