@@ -55,7 +55,9 @@ def test_patterns_hold_every_item_once(histogram, capacity):
     assert sum(sum(n for _, n in p) * 2 <= capacity for p in packs.values()) <= 1
 
 
-def test_packing_table(spark):
+@pytest.mark.parametrize("ranked", [packing.RANKED, 7])  # with 7, each length is ranked in several parts
+def test_packing_table(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     sizes = [(i, i % 7) for i in range(300)] + [(1000, 25), (1001, None), (5, 5), (5, 5)]
     df = spark.createDataFrame(sizes, "doc_id long, tokens long").withColumn("size", F.lit(9)).withColumn("pack_id", F.lit(9))
     rows = packing.pack(df, 10).collect()
