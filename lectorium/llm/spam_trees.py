@@ -246,7 +246,8 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
     `labelled` has the assembled `features` and a `label`; of each label at most TRAINING_ROWS rows are used.
     """
     rows = [bounded_sample(labelled.where(F.col("label") == v), "id", TRAINING_ROWS) for v in (0.0, 1.0)]
-    sample = checkpointed(rows[0].unionByName(rows[1]).select("features", "label"))
+    # in the same order on every run, as the bootstrap samples depend on it
+    sample = checkpointed(rows[0].unionByName(rows[1]).select("id", "features", "label").repartition(8, "id").sortWithinPartitions("id").drop("id"))
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
