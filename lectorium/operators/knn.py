@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectorium.functions import vectors as V
 from lectorium.schema import BINARY_OVERSAMPLE, BOOK_OVERFETCH
+from lectorium.session import broadcast_if_small
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -42,14 +43,14 @@ def _checked(vectors: DataFrame, id_column: str, vector_column: str, dimension:
 def search(vectors: DataFrame, queries: DataFrame, limit: int, id_column: str = "chunk_id", vector_column: str = "embedding", source: str = "vector", dimension: int | None = None, books: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Ranked list of the `limit` nearest vectors of each query by L2 distance. `queries`: (query_id, vector).
 
-    A brute-force scan: queries are broadcast in full, so ask a stated set, in blocks if it is large. Each task
-    keeps its own best of each query before the shuffle. With `books` (query_id, chunk_id), the nearest
+    A brute-force scan: up to BROADCAST_ROWS queries are sent to every task, more meet the rows partition by
+    partition. Each task keeps its own best of each query before the shuffle. With `books` (query_id, chunk_id), the nearest
     BOOK_OVERFETCH x limit are fetched first and filtered after, so fewer than `limit` may come; `exact=True`
     filters first.
     """
     rows = _checked(vectors, id_column, vector_column, dimension)
     asked = queries.select("query_id", F.col("vector").alias("asked"))
-    pairs = rows.crossJoin(F.broadcast(asked)).select("query_id", "chunk_id", V.l2_distance(F.col("vector"), F.col("asked")).alias("score"))
+    pairs = rows.crossJoin(broadcast_if_small(asked)).select("query_id", "chunk_id", V.l2_distance(F.col("vector"), F.col("asked")).alias("score"))
     if books is not None and exact:
         pairs = pairs.join(books.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     order = Window.partitionBy("query_id").orderBy("score", "chunk_id")
@@ -73,14 +74,14 @@ def binary_search(vectors: DataFrame, queries: DataFrame, limit: int, index: Dat
     """
     index = binary_index(vectors, id_column, vector_column) if index is None else index
     asked = queries.select("query_id", F.col("vector").alias("asked"), V.sign_words(F.col("vector")).alias("asked_words"))
-    pairs = index.crossJoin(F.broadcast(asked.select("query_id", "asked_words")))
+    pairs = index.crossJoin(broadcast_if_small(asked.select("query_id", "asked_words")))
     apart = pairs.select("query_id", "chunk_id", V.hamming(F.col("words"), F.col("asked_words")).alias("apart"))
     order = Window.partitionBy("query_id").orderBy("apart", "chunk_id")
     keep = limit * BINARY_OVERSAMPLE
     near = apart.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (keep if books is None else keep * BOOK_OVERFETCH))
     if books is not None:
         near = near.join(books.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
-    rows = _checked(vectors, id_column, vector_column, None).join(near, "chunk_id").join(F.broadcast(asked.select("query_id", "asked")), "query_id")
+    rows = _checked(vectors, id_column, vector_column, None).join(near, "chunk_id").join(asked.select("query_id", "asked"), "query_id")
     scored = rows.select("query_id", "chunk_id", "place", V.cosine_distance(F.col("vector"), F.col("asked")).alias("score")).where("score is not null")
     final = Window.partitionBy("query_id").orderBy("score", "place")
     return scored.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= limit).select("query_id", F.lit(source).alias("source"), "chunk_id", "rank", "score")

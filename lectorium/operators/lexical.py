@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectorium.functions import terms as T
 from lectorium.schema import BM25_B, BM25_K1, BM25_LEAST_IDF
+from lectorium.session import broadcast_if_small
 
 
 #: Places to which scores are rounded before they are ranked: sums of doubles differ in their last digits from run to run.
@@ -109,8 +110,8 @@ def _lengths(postings: DataFrame) -> DataFrame:
 def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str = "chunk_id", heading: str | None = "heading", body: str = "body", books: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Best chunks by BM25 over substrings of three characters or more, all of which must match.
 
-    Queries without such a term find nothing. The queries go to the texts (they are few against the texts; a set
-    too large to broadcast is best searched in blocks), and a chunk is scored only if it holds all terms. With
+    Queries without such a term find nothing. Up to BROADCAST_ROWS terms are sent to the texts (they are few
+    against the texts; more meet them partition by partition), and a chunk is scored only if it holds all terms. With
     `corpus` (rows, mean), `df` may be cut to chunks among which all matches are.
     """
     asked = queries.select("query_id", T.trigram_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
@@ -121,7 +122,7 @@ def trigram_search(df: DataFrame, queries: DataFrame, limit: int, id_column: str
     corpus = rows.agg(F.count("*").alias("rows"), F.avg("length").alias("mean")) if corpus is None else corpus
     every = asked.select(F.explode("terms").alias("term")).distinct()
     holds = F.col("head").contains(F.col("term")) | F.col("text").contains(F.col("term"))
-    hits = rows.join(F.broadcast(every), holds)
+    hits = rows.join(broadcast_if_small(every), holds)
     counted = hits.select("chunk_id", "length", "term", (T.occurrences(F.col("head"), F.col("term")) + T.occurrences(F.col("text"), F.col("term"))).alias("tf"))
     n = counted.groupBy("term").agg(F.count("*").alias("n"))
     wanted = asked.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term")).groupBy("query_id", "needed", "term").agg(F.count("*").alias("times"))
@@ -136,7 +137,7 @@ def trigram_candidates(postings: DataFrame, queries: DataFrame) -> DataFrame:
     terms = queries.select(F.explode(T.trigram_terms(F.col("query"))).alias("phrase")).distinct()
     needed = terms.select("phrase", F.explode(F.array_distinct(T.trigrams(F.col("phrase")))).alias("term"))
     needed = needed.join(needed.groupBy("phrase").agg(F.count("*").alias("parts")), "phrase")
-    held = postings.select("term", "chunk_id").join(F.broadcast(needed), "term").groupBy("phrase", "parts", "chunk_id").agg(F.count("*").alias("found"))
+    held = postings.select("term", "chunk_id").join(needed, "term").groupBy("phrase", "parts", "chunk_id").agg(F.count("*").alias("found"))
     return held.where("found = parts").select("chunk_id").distinct()
 
 

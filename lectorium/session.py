@@ -43,6 +43,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a side that may be sent to every task: some tens of MB of vectors at most.
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcasting if it has at most `rows` rows, else as it is, to be joined as Spark plans it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def row_numbers(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "row_number") -> DataFrame:
     """`df` with 1-based ranks within `keys` by `order`, even if one key holds most rows.
 
